@@ -52,49 +52,77 @@ class CategoryPopularity:
                              F.countDistinct("category_idx").alias("categories"))
 
     def _shelves(self) -> DataFrame:
-        """One row per category: its size, and its pool as an array of at most per_category.
+        """One row per category: its pool as an array of at most per_category entries.
 
-        `shared` marks items that sit in several pools, whose scores are sums.
+        `places` lists all pools of an item that sits in several; `shared_n` counts those.
         """
-        shared = (self.pool.groupBy("item_idx").agg(F.count(F.lit(1)).alias("_pools"))
-                  .filter(F.col("_pools") > 1).select("item_idx", F.lit(True).alias("shared")))
-        entry = F.struct("rn", "item_idx", F.coalesce("shared", F.lit(False)).alias("shared"))
-        return (self.pool.join(shared, "item_idx", "left")
-                .groupBy("category_idx").agg(F.count(F.lit(1)).alias("size"),
-                                             F.collect_list(entry).alias("entries")))
+        where = (self.pool.groupBy("item_idx")
+                 .agg(F.collect_list(F.struct("category_idx", "rn")).alias("places"))
+                 .filter(F.size("places") > 1))
+        return (self.pool.join(where, "item_idx", "left")
+                .groupBy("category_idx")
+                .agg(F.count(F.lit(1)).alias("size"), F.count("places").alias("shared_n"),
+                     F.collect_list(F.struct("rn", "item_idx", "places")).alias("entries")))
+
+    def _reach(self, taste: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+        """Adds `floor`, a score that a user's k-th best item reaches for certain, and the
+        user's weights by category.
+
+        With h history items, k of any k + h different pool items are unseen. So the floor is
+        a score t that at least k + h pool entries reach: either all those of one category
+        down to place k + h, or, usually higher, those of all categories together that score
+        t, for the t at which their number should come to k + h. Entries shared by several
+        pools are not counted, as they are the same item.
+        """
+        c, n, w, size = float(self.rank_constant), F.count(F.lit(1)), F.col("w"), F.col("size")
+        user = Window.partitionBy("user_idx")
+        lengths = weights.groupBy("user_idx").agg(F.count(F.lit(1)).alias("h"))
+        sizes = self.shelves.select("category_idx", "size", "shared_n")
+        deep = F.lit(k) + F.col("h")
+        level = F.sum("w").over(user) / (deep + n.over(user) * F.lit(c + 1))
+        reaching = F.least(F.greatest(F.floor(w / F.col("level") - F.lit(c)), F.lit(0)), size)
+        one = F.max(F.when(size >= deep, w / (F.lit(c) + deep))).over(user)
+        return (taste.join(sizes, "category_idx").join(lengths, "user_idx")
+                .withColumn("level", level)
+                .withColumn("floor", F.greatest(one, F.when(
+                    F.sum(reaching - F.col("shared_n")).over(user) >= deep, F.col("level")))
+                    - F.lit(_SLACK))
+                .withColumn("tastes", F.map_from_entries(F.collect_list(
+                    F.struct("category_idx", "w")).over(user)))
+                .select("user_idx", "category_idx", "w", "floor", "tastes"))
 
     def recommend(self, histories: DataFrame, k: int, users: DataFrame | None = None) -> DataFrame:
         """Best k unseen items by the summed score.
 
         Users x categories x pool would be the largest table here, so entries that cannot
-        reach a user's best k are not generated. If a category's pool has at least k + h
-        entries for a user with h history items, k unseen ones score at least
-        w / (c + k + h) each; the best such value over the user's categories is a floor for
-        the k-th place. An entry found in one pool only can be left out once its whole score
-        is under that floor. Entries shared by several pools are always kept.
+        reach the user's best k are not generated. An entry of an item with p pools can only
+        belong to an item scoring the floor if its own share is floor / p or more, or if
+        another entry of the item is. The score of a generated entry is complete: it adds up
+        the item's places in all of the user's categories.
         """
         if self.pool is None or self.item_categories is None:
             raise RuntimeError("fit() has not been called")
-        c = float(self.rank_constant)
+        c, w = float(self.rank_constant), F.col("w")
         weights = item_weights(histories)
         taste = (weights.join(self.item_categories, "item_idx")
-                 .groupBy("user_idx", "category_idx")
-                 .agg(F.sum("m").alias("w")))
-        lengths = weights.groupBy("user_idx").agg(F.count(F.lit(1)).alias("h"))
-        deep = F.lit(k) + F.col("h")
-        own_floor = F.when(F.col("size") >= deep, F.col("w") / (F.lit(c) + deep))
-        per_user = Window.partitionBy("user_idx")
-        bounded = (taste.join(self.shelves.select("category_idx", "size"), "category_idx")
-                   .join(lengths, "user_idx")
-                   .withColumn("floor", F.max(own_floor).over(per_user) - F.lit(_SLACK))
-                   .withColumn("last_rn", F.when(
-                       F.col("floor") > 0, F.ceil(F.col("w") / F.col("floor") - F.lit(c)))
-                       .otherwise(F.col("size")))
-                   .select("user_idx", "category_idx", "w", "last_rn"))
-        entries = (bounded.join(self.shelves.drop("size"), "category_idx")
-                   .select("user_idx", "w", F.inline(F.filter(
-                       "entries", lambda e: e["shared"] | (e["rn"] <= F.col("last_rn"))))))
-        scored = (entries.groupBy("user_idx", "item_idx")
-                  .agg(F.round(F.sum(F.col("w") / (F.lit(c) + F.col("rn"))), 10).alias("score")))
-        return top_k(drop_seen(scored, weights), ["user_idx"],
+                 .groupBy("user_idx", "category_idx").agg(F.sum("m").alias("w")))
+
+        def worth_it(entry):
+            pools = F.coalesce(F.size(entry["places"]), F.lit(1))
+            return (F.coalesce(F.col("floor"), F.lit(0.0)) <= 0) | (
+                pools * w / (F.lit(c) + entry["rn"]) >= F.col("floor"))
+
+        def elsewhere(acc, place):
+            return acc + F.coalesce(F.col("tastes")[place["category_idx"]], F.lit(0)) / (
+                F.lit(c) + place["rn"])
+
+        alone = w / (F.lit(c) + F.col("rn"))
+        score = F.when(F.col("places").isNull(), alone).otherwise(
+            F.aggregate("places", F.lit(0.0), elsewhere))
+        entries = (self._reach(taste, weights, k)
+                   .join(self.shelves.select("category_idx", "entries"), "category_idx")
+                   .select("user_idx", "w", "tastes", F.inline(F.filter("entries", worth_it)))
+                   .select("user_idx", "item_idx", F.round(score, 10).alias("score")))
+        best = entries.groupBy("user_idx", "item_idx").agg(F.max("score").alias("score"))
+        return top_k(drop_seen(best, weights), ["user_idx"],
                      [F.desc("score"), F.asc("item_idx")], k)

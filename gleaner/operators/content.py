@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import top_k
@@ -28,6 +28,7 @@ class Content:
     name = "content"
     catalogue: DataFrame | None = None
     stores: DataFrame | None = None
+    stores_shelf: DataFrame | None = None
     categories: DataFrame | None = None
 
     def with_popularity(self, interactions: DataFrame, cutoff: int) -> DataFrame:
@@ -53,6 +54,14 @@ class Content:
                      self.cold_slots, rank="_rank", spread_by=["item_idx"])
         return warm.unionByName(cold).drop("_rank").distinct()
 
+    def _shelf(self) -> DataFrame:
+        """One row per store: its pool by popularity, at most per_store + cold_slots entries.
+        `single` marks items with one metadata row."""
+        rows = self.catalogue.groupBy("item_idx").agg((F.count(F.lit(1)) == 1).alias("single"))
+        entry = F.struct((-F.col("pop")).alias("less"), "item_idx", "price", "pop", "single")
+        return (self.stores.join(rows, "item_idx")
+                .groupBy("store_idx").agg(F.sort_array(F.collect_list(entry)).alias("entries")))
+
     def category_pool(self, catalogue: DataFrame) -> DataFrame:
         listed = (catalogue.filter(F.col("main_category_idx").isNotNull())
                   .select("main_category_idx", "item_idx", "price", "pop"))
@@ -63,6 +72,7 @@ class Content:
     def fit(self, interactions: DataFrame, cutoff: int) -> Content:
         self.catalogue = snapshot(self.with_popularity(interactions, cutoff), "content-items")
         self.stores = snapshot(self.store_pool(self.catalogue), "content-stores")
+        self.stores_shelf = snapshot(self._shelf(), "content-shelves")
         self.categories = snapshot(self.category_pool(self.catalogue), "content-categories")
         return self
 
@@ -76,10 +86,11 @@ class Content:
                  self.categories.agg(F.count(F.lit(1))).scalar().alias("category_pool_rows"))
 
     def profile(self, weights: DataFrame) -> DataFrame:
-        """(user, store, category, price, m): attributes of the history with multiplicity."""
+        """(user, store, category, price, m, items): attributes of the history, with the number
+        of its rows and of its metadata rows."""
         return (weights.join(self.catalogue.drop("pop"), "item_idx")
                 .groupBy("user_idx", "store_idx", "main_category_idx", "price")
-                .agg(F.sum("m").alias("m")))
+                .agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("items")))
 
     @staticmethod
     def median_prices(profile: DataFrame) -> DataFrame:
@@ -88,32 +99,65 @@ class Content:
                   .groupBy("user_idx", "price").agg(F.sum("m").alias("m")))
         return counts.groupBy("user_idx").agg(F.percentile("price", 0.5, F.col("m")).alias("med_price"))
 
+    def _stores_of(self, profile: DataFrame, medians: DataFrame, k: int) -> DataFrame:
+        """(user, store, med_price, floor, full): the user's stores and what is needed of them.
+
+        With h history items in a store, k unseen ones are among any k + h different items.
+        `full`: the user's store pools alone hold k unseen items. No category candidate can
+        then be among the best k, since a store item scores 2 or more and others under 1.5.
+        `floor`: if each of the user's n stores has k/n unseen items in the price band, the
+        best k are all in the band and at least as popular as the least popular of these.
+        Items with several metadata rows are not counted, as they may be the same item.
+        """
+        user = Window.partitionBy("user_idx")
+        held = (profile.filter(F.col("store_idx").isNotNull())
+                .groupBy("user_idx", "store_idx").agg(F.sum("items").alias("h")))
+        own = held.join(medians, "user_idx", "left").withColumn(
+            "share", F.ceil(F.lit(float(k)) / F.count(F.lit(1)).over(user)))
+        sure = F.filter("entries", lambda e: e["single"])
+        band = F.filter(sure, lambda e: self._near(e["price"]))
+        at = (F.col("share") + F.col("h")).cast("int")
+        edge = F.when(F.size(band) >= at, F.element_at(band, at)["pop"])
+        return (own.join(self.stores_shelf, "store_idx")
+                .select("user_idx", "store_idx", "med_price", edge.alias("edge"),
+                        (F.size(sure) - F.col("h")).alias("unseen"))
+                .withColumn("floor", F.when(F.count_if(F.col("edge").isNull()).over(user) == 0,
+                                            F.min("edge").over(user)))
+                .withColumn("full", F.sum("unseen").over(user) >= k)
+                .drop("edge", "unseen"))
+
+    def _near(self, price: Column) -> Column:
+        return (F.abs(price - F.col("med_price"))
+                <= F.col("med_price") * F.lit(self.price_tolerance))
+
     def recommend(self, histories: DataFrame, k: int, users: DataFrame | None = None) -> DataFrame:
         """Best signal per candidate plus a price bonus; unseen items, best k.
 
-        Ties go to the more popular item, then the smaller id, then the smaller price.
+        Ties go to the more popular item, then the smaller id, then the smaller price. Only
+        candidates that can be among a user's best k are generated.
         """
         if self.catalogue is None:
             raise RuntimeError("fit() has not been called")
         weights = item_weights(histories)
         profile = snapshot(self.profile(weights), "content-profile")
         medians = self.median_prices(profile)
-        # the median is attached to the short user lists, before they fan out
-        by_store = (profile.filter(F.col("store_idx").isNotNull())
-                    .select("user_idx", "store_idx").distinct()
-                    .join(medians, "user_idx", "left")
-                    .join(self.stores, "store_idx")
+        stores = snapshot(self._stores_of(profile, medians, k), "content-user-stores")
+
+        needed = F.filter("entries", lambda e: F.col("floor").isNull() | (
+            (e["pop"] >= F.col("floor")) & self._near(e["price"])))
+        by_store = (stores.join(self.stores_shelf, "store_idx")
+                    .select("user_idx", "med_price", F.inline(needed))
                     .withColumn("signal", F.lit(STORE_SIGNAL)))
+        served = stores.filter("full").select("user_idx")
         by_category = (profile.filter(F.col("main_category_idx").isNotNull())
                        .groupBy("user_idx", "main_category_idx").agg(F.sum("m").alias("w"))
+                       .join(served, "user_idx", "left_anti")
                        .join(medians, "user_idx", "left")
                        .join(self.categories, "main_category_idx")
                        .withColumn("signal", F.col("w") / (F.col("w") + F.lit(CATEGORY_DAMPING))))
         columns = ["user_idx", "item_idx", "price", "med_price", "pop", "signal"]
         key = ["user_idx", "item_idx"] + ([] if self.dedupe_items else ["price"])
-        near = (F.abs(F.col("price") - F.col("med_price"))
-                <= F.col("med_price") * F.lit(self.price_tolerance))
-        bonus = F.when(near, F.lit(PRICE_BONUS)).otherwise(F.lit(0.0))
+        bonus = F.when(self._near(F.col("price")), F.lit(PRICE_BONUS)).otherwise(F.lit(0.0))
         pooled = (by_store.select(*columns).unionByName(by_category.select(*columns))
                   .withColumn("score", F.col("signal") + bonus))
         best = pooled.groupBy(*key).agg(F.max("score").alias("score"), F.max("pop").alias("pop"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,12 @@ def stack(channels: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _by_user(channels: Mapping[str, DataFrame]) -> DataFrame:
+    """The stacked candidates, moved once: a user has at most channels x k rows, and both the
+    aggregation by (user, item) and the ranking by user can stay in these partitions."""
+    return stack(channels).filter(F.col("item_idx") >= 0).drop("channel").repartition("user_idx")
+
+
 def round_robin(channels: Mapping[str, DataFrame], k: int) -> DataFrame:
     """Everyone's first, then everyone's second, and so on, each item once.
 
@@ -31,8 +38,7 @@ def round_robin(channels: Mapping[str, DataFrame], k: int) -> DataFrame:
         raise ValueError("k must be at least 1")
     # one sortable number: rank first, then channel
     turn = F.col("rank").cast("bigint") * len(channels) + F.col("channel_no")
-    turns = (stack(channels).filter(F.col("item_idx") >= 0)
-             .groupBy("user_idx", "item_idx").agg(F.min(turn).alias("_turn")))
+    turns = (_by_user(channels).groupBy("user_idx", "item_idx").agg(F.min(turn).alias("_turn")))
     return top_k(turns, ["user_idx"], [F.asc("_turn")], k).drop("_turn")
 
 
@@ -59,13 +65,14 @@ def weighted_rrf(channels: Mapping[str, DataFrame], k: int,
     first place; negative ids are no candidates.
     """
     weights = check_weights(weights, len(channels), k, rank_constant)
-    used = {name: recs for (name, recs), w in zip(channels.items(), weights, strict=True) if w > 0}
-    weight = F.element_at(F.lit([w for w in weights if w > 0]), F.col("channel_no") + 1)
-    scored = (stack(used).filter(F.col("item_idx") >= 0)
-              .groupBy("user_idx", "item_idx", "channel_no").agg(F.min("rank").alias("rank"))
-              .groupBy("user_idx", "item_idx")
-              .agg(F.round(F.sum(weight / (F.lit(float(rank_constant)) + F.col("rank"))), 10)
-                   .alias("score")))
+    used = [(name, w) for name, w in zip(channels, weights, strict=True) if w > 0]
+    first_place = [F.min(F.when(F.col("channel_no") == no, F.col("rank"))).alias(f"_r{no}")
+                   for no in range(len(used))]
+    parts = [F.coalesce(F.lit(w) / (F.lit(float(rank_constant)) + F.col(f"_r{no}")), F.lit(0.0))
+             for no, (_, w) in enumerate(used)]
+    scored = (_by_user({name: channels[name] for name, _ in used})
+              .groupBy("user_idx", "item_idx").agg(*first_place)
+              .select("user_idx", "item_idx", F.round(reduce(add, parts), 10).alias("score")))
     return top_k(scored, ["user_idx"], [F.desc("score"), F.asc("item_idx")], k)
 
 

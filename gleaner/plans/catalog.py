@@ -398,7 +398,7 @@ def content_cat_pool(w):
 
 @query
 def content_profile(w):
-    return w.content.profile(item_weights(w.early.histories))
+    return w.content.profile(item_weights(w.early.histories)).drop("items")
 
 
 @query

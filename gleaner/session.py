@@ -13,6 +13,8 @@ SQL_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # short user lists fan out into many candidates, so small partitions are worth keeping
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # a key that holds a large share of a join's rows is split over tasks, even
     # where that costs one more shuffle afterwards
     "spark.sql.adaptive.skewJoin.enabled": "true",
