@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import time
+import uuid
 
 from gleaner.operators import bootstrap, diagnostics, fusion, ingest, metrics, quality
 from gleaner.operators.als import ImplicitALS
@@ -41,7 +42,7 @@ def main() -> None:
     split = warehouse.WAREHOUSE_SPLIT
 
     def store(table, name):
-        path = f"{shared_folder(spark)}/{name}"
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         write_by_year(table, path)
         return read_interactions(spark, path)
 

@@ -52,17 +52,21 @@ class CategoryPopularity:
                              F.countDistinct("category_idx").alias("categories"))
 
     def _shelves(self) -> DataFrame:
-        """One row per category: its pool as an array of at most per_category entries.
+        """One row per category: its pool in two arrays, at most per_category entries together.
 
-        `places` lists all pools of an item that sits in several; `shared_n` counts those.
+        `alone` holds the items of this pool only, by place. `shared` holds the others, with
+        all the pools they sit in as `places`.
         """
         where = (self.pool.groupBy("item_idx")
                  .agg(F.collect_list(F.struct("category_idx", "rn")).alias("places"))
                  .filter(F.size("places") > 1))
+        entry = F.struct("rn", "item_idx", "places")
+        single = F.col("places").isNull()
         return (self.pool.join(where, "item_idx", "left")
                 .groupBy("category_idx")
                 .agg(F.count(F.lit(1)).alias("size"), F.count("places").alias("shared_n"),
-                     F.collect_list(F.struct("rn", "item_idx", "places")).alias("entries")))
+                     F.sort_array(F.collect_list(F.when(single, entry))).alias("alone"),
+                     F.collect_list(F.when(~single, entry)).alias("shared")))
 
     def _reach(self, taste: DataFrame, weights: DataFrame, k: int) -> DataFrame:
         """Adds `floor`, a score that a user's k-th best item reaches for certain, and the
@@ -107,10 +111,12 @@ class CategoryPopularity:
         taste = (weights.join(self.item_categories, "item_idx")
                  .groupBy("user_idx", "category_idx").agg(F.sum("m").alias("w")))
 
-        def worth_it(entry):
-            pools = F.coalesce(F.size(entry["places"]), F.lit(1))
-            return (F.coalesce(F.col("floor"), F.lit(0.0)) <= 0) | (
-                pools * w / (F.lit(c) + entry["rn"]) >= F.col("floor"))
+        bounded = F.coalesce(F.col("floor"), F.lit(0.0)) > 0
+        # no more than this many entries of `alone` have a place good enough
+        first = F.when(bounded, F.greatest(F.ceil(w / F.col("floor") - F.lit(c)), F.lit(0))) \
+            .otherwise(F.size("alone")).cast("int")
+        good = F.col("places").isNull() | ~bounded | (
+            F.size("places") * w / (F.lit(c) + F.col("rn")) >= F.col("floor"))
 
         def elsewhere(acc, place):
             return acc + F.coalesce(F.col("tastes")[place["category_idx"]], F.lit(0)) / (
@@ -120,8 +126,10 @@ class CategoryPopularity:
         score = F.when(F.col("places").isNull(), alone).otherwise(
             F.aggregate("places", F.lit(0.0), elsewhere))
         entries = (self._reach(taste, weights, k)
-                   .join(self.shelves.select("category_idx", "entries"), "category_idx")
-                   .select("user_idx", "w", "tastes", F.inline(F.filter("entries", worth_it)))
+                   .join(self.shelves.drop("size", "shared_n"), "category_idx")
+                   .select("user_idx", "w", "tastes", "floor", F.inline(
+                       F.concat(F.slice("alone", F.lit(1), first), "shared")))
+                   .filter(good)
                    .select("user_idx", "item_idx", F.round(score, 10).alias("score")))
         best = entries.groupBy("user_idx", "item_idx").agg(F.max("score").alias("score"))
         return top_k(drop_seen(best, weights), ["user_idx"],

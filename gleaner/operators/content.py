@@ -56,11 +56,13 @@ class Content:
 
     def _shelf(self) -> DataFrame:
         """One row per store: its pool by popularity, at most per_store + cold_slots entries.
-        `single` marks items with one metadata row."""
-        rows = self.catalogue.groupBy("item_idx").agg((F.count(F.lit(1)) == 1).alias("single"))
-        entry = F.struct((-F.col("pop")).alias("less"), "item_idx", "price", "pop", "single")
+        `sure` holds those of items with one metadata row."""
+        rows = self.catalogue.groupBy("item_idx").agg(F.count(F.lit(1)).alias("rows"))
+        entry = F.struct((-F.col("pop")).alias("less"), "item_idx", "price", "pop")
         return (self.stores.join(rows, "item_idx")
-                .groupBy("store_idx").agg(F.sort_array(F.collect_list(entry)).alias("entries")))
+                .groupBy("store_idx")
+                .agg(F.collect_list(entry).alias("entries"),
+                     F.sort_array(F.collect_list(F.when(F.col("rows") == 1, entry))).alias("sure")))
 
     def category_pool(self, catalogue: DataFrame) -> DataFrame:
         listed = (catalogue.filter(F.col("main_category_idx").isNotNull())
@@ -114,13 +116,11 @@ class Content:
                 .groupBy("user_idx", "store_idx").agg(F.sum("items").alias("h")))
         own = held.join(medians, "user_idx", "left").withColumn(
             "share", F.ceil(F.lit(float(k)) / F.count(F.lit(1)).over(user)))
-        sure = F.filter("entries", lambda e: e["single"])
-        band = F.filter(sure, lambda e: self._near(e["price"]))
+        in_band = F.transform(F.filter("sure", lambda e: self._near(e["price"])), lambda e: e["pop"])
         at = (F.col("share") + F.col("h")).cast("int")
-        edge = F.when(F.size(band) >= at, F.element_at(band, at)["pop"])
-        return (own.join(self.stores_shelf, "store_idx")
-                .select("user_idx", "store_idx", "med_price", edge.alias("edge"),
-                        (F.size(sure) - F.col("h")).alias("unseen"))
+        return (own.join(self.stores_shelf.select("store_idx", "sure"), "store_idx")
+                .select("user_idx", "store_idx", "med_price", F.get(in_band, at - 1).alias("edge"),
+                        (F.size("sure") - F.col("h")).alias("unseen"))
                 .withColumn("floor", F.when(F.count_if(F.col("edge").isNull()).over(user) == 0,
                                             F.min("edge").over(user)))
                 .withColumn("full", F.sum("unseen").over(user) >= k)
@@ -143,10 +143,11 @@ class Content:
         medians = self.median_prices(profile)
         stores = snapshot(self._stores_of(profile, medians, k), "content-user-stores")
 
-        needed = F.filter("entries", lambda e: F.col("floor").isNull() | (
-            (e["pop"] >= F.col("floor")) & self._near(e["price"])))
-        by_store = (stores.join(self.stores_shelf, "store_idx")
-                    .select("user_idx", "med_price", F.inline(needed))
+        needed = F.col("floor").isNull() | (
+            (F.col("pop") >= F.col("floor")) & self._near(F.col("price")))
+        by_store = (stores.join(self.stores_shelf.select("store_idx", "entries"), "store_idx")
+                    .select("user_idx", "med_price", "floor", F.inline("entries"))
+                    .filter(needed)
                     .withColumn("signal", F.lit(STORE_SIGNAL)))
         served = stores.filter("full").select("user_idx")
         by_category = (profile.filter(F.col("main_category_idx").isNotNull())

@@ -79,7 +79,9 @@ def weighted_rrf(channels: Mapping[str, DataFrame], k: int,
 def union_recall_ceiling(channels: Mapping[str, DataFrame], truths: DataFrame) -> DataFrame:
     """Recall if every candidate of every channel were kept: the best any fusion could do."""
     found = (stack(channels).filter(F.col("item_idx") >= 0)
-             .select("user_idx", "item_idx").distinct()
+             .select("user_idx", "item_idx")
+             .join(truths.select("user_idx", "item_idx"), ["user_idx", "item_idx"], "left_semi")
+             .distinct()
              .withColumn("found", F.lit(1)))
     per_user = (truths.join(found, ["user_idx", "item_idx"], "left")
                 .groupBy("user_idx")

@@ -61,18 +61,18 @@ def encode_dedupe(reviews: DataFrame, user_map: DataFrame, item_map: DataFrame,
                .join(category_map, "category")
                .join(user_map, "user_id")
                .join(item_map, "parent_asin"))
-    first = F.struct("ts", *tie_break, *attributes)
-    picked = [
-        F.min_by(F.col(name), F.when(F.col(name).isNotNull(), first)).alias(name)
-        for name in attributes
-    ]
+    row = F.struct("ts", *tie_break, *attributes)
+    # rating and category are always present, so the earliest row has them
+    present = {name: F.min(F.when(F.col(name).isNotNull(), row)).alias(f"_{name}")
+               for name in ("helpful_vote", "verified_purchase")}
     return (encoded.groupBy("user_idx", "item_idx")
-            .agg(F.min("ts").alias("ts"), *picked)
-            .select("user_idx", "item_idx", F.col("rating").cast("tinyint").alias("rating"),
-                    "ts", F.col("helpful_vote").cast("smallint").alias("helpful_vote"),
-                    "verified_purchase",
-                    F.col("category_idx").cast("smallint").alias("category_idx"),
-                    year_of(F.col("ts")).alias("year")))
+            .agg(F.min(row).alias("_row"), *present.values())
+            .select("user_idx", "item_idx", F.col("_row.rating").cast("tinyint").alias("rating"),
+                    "_row.ts",
+                    F.col("_helpful_vote.helpful_vote").cast("smallint").alias("helpful_vote"),
+                    "_verified_purchase.verified_purchase",
+                    F.col("_row.category_idx").cast("smallint").alias("category_idx"),
+                    year_of(F.col("_row.ts")).alias("year")))
 
 
 def ingest_stats(reviews: DataFrame, interactions: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Every operator as a named query over the warehouse tables."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property, wraps
 
@@ -50,7 +51,7 @@ class Workbench:
         return cls._open[key]
 
     def _stored(self, table: DataFrame, name: str) -> DataFrame:
-        path = f"{shared_folder(self.spark)}/{name}-{id(self)}"
+        path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
         write_by_year(table, path)
         return read_interactions(self.spark, path)
 
