@@ -580,7 +580,7 @@ def rolling_windows(w):
 @query
 def evaluation_run(w):
     run = runs.evaluation_run(
-        w.interactions, "test", SPLIT, k=K, eval_ks=KS, items=w.items, max_users=SAMPLED_USERS,
+        w.interactions, "test", SPLIT, k=K, eval_ks=KS, items=w.items,
         channels=("popularity", "covisitation", "category_popularity", "content"),
         weights=(1.0, 1.0, 0.25, 0.25))
     return run.results
