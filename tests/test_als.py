@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from conftest import ranked
 
-from gleaner.operators.als import ImplicitALS, _best
+from gleaner.operators.als import ImplicitALS, _merged
 from gleaner.operators.splits import unix
 
 CUT = unix("2023-06-01")
@@ -70,8 +70,10 @@ def test_folding_in_a_trained_user_gives_its_vector(model, table):
         np.testing.assert_allclose(got[user], trained[user], rtol=1e-3, atol=1e-4)
 
 
-def test_blocked_search_is_exact(model, histories):
+@pytest.mark.parametrize("per_task", [1, 3])
+def test_blocked_search_is_exact(model, histories, per_task):
     """Blocks of 3 items and 2 users give the same lists as one dense product."""
+    model.blocks_per_task = per_task
     y = _factors(model.item_factors)
     ids = np.array(sorted(y))
     dense = np.stack([y[i] for i in ids]).astype(np.float32)
@@ -89,9 +91,14 @@ def test_blocked_search_is_exact(model, histories):
 
 
 def test_ties_go_to_the_smaller_id():
+    none = (np.empty(0, np.int32), np.empty(0, np.float32))
     ids = np.array([1, 3, 7, 9], dtype=np.int32)
-    assert ids[_best(np.array([0.0, 2.0, 2.0, 2.0]), ids, 2)].tolist() == [3, 7]
-    assert ids[_best(np.array([5.0, 2.0, 2.0, 2.0]), ids, 9)].tolist() == [1, 3, 7, 9]
+    kept = _merged(*none, ids, np.array([0, 2, 2, 2], np.float32), 2)
+    assert kept[0].tolist() == [3, 7]
+    # a later block holds an equal score with a smaller id, and a lower one
+    later = _merged(*kept, np.array([2, 5], np.int32), np.array([2, 1], np.float32), 2)
+    assert later[0].tolist() == [2, 3]
+    assert _merged(*none, ids, np.array([5, 2, 2, 2], np.float32), 9)[0].tolist() == [1, 3, 7, 9]
 
 
 def test_bad_arguments(model, histories):
