@@ -55,14 +55,16 @@ class Content:
         return warm.unionByName(cold).drop("_rank").distinct()
 
     def _shelf(self) -> DataFrame:
-        """One row per store: its pool by popularity, at most per_store + cold_slots entries.
-        `sure` holds those of items with one metadata row."""
+        """One row per store: its pool as an array of at most per_store + cold_slots entries.
+
+        `sure` marks items with one metadata row; `level` grades popularity in quarter octaves.
+        """
         rows = self.catalogue.groupBy("item_idx").agg(F.count(F.lit(1)).alias("rows"))
-        entry = F.struct((-F.col("pop")).alias("less"), "item_idx", "price", "pop")
+        level = F.floor(4 * F.log2(F.col("pop") + F.lit(1.0))).cast("int")
+        entry = F.struct("item_idx", "price", "pop", level.alias("level"),
+                         (F.col("rows") == 1).alias("sure"))
         return (self.stores.join(rows, "item_idx")
-                .groupBy("store_idx")
-                .agg(F.collect_list(entry).alias("entries"),
-                     F.sort_array(F.collect_list(F.when(F.col("rows") == 1, entry))).alias("sure")))
+                .groupBy("store_idx").agg(F.collect_list(entry).alias("entries")))
 
     def category_pool(self, catalogue: DataFrame) -> DataFrame:
         listed = (catalogue.filter(F.col("main_category_idx").isNotNull())
@@ -101,30 +103,32 @@ class Content:
                   .groupBy("user_idx", "price").agg(F.sum("m").alias("m")))
         return counts.groupBy("user_idx").agg(F.percentile("price", 0.5, F.col("m")).alias("med_price"))
 
-    def _stores_of(self, profile: DataFrame, medians: DataFrame, k: int) -> DataFrame:
-        """(user, store, med_price, floor, full): the user's stores and what is needed of them.
+    def _needs(self, own: DataFrame, k: int) -> DataFrame:
+        """(user, floor, full): how much of the user's store pools can matter.
 
-        With h history items in a store, k unseen ones are among any k + h different items.
-        `full`: the user's store pools alone hold k unseen items. No category candidate can
-        then be among the best k, since a store item scores 2 or more and others under 1.5.
-        `floor`: if each of the user's n stores has k/n unseen items in the price band, the
-        best k are all in the band and at least as popular as the least popular of these.
-        Items with several metadata rows are not counted, as they may be the same item.
+        If h of the items in the user's stores are in the history, k unseen ones are among any
+        k + h different items. `floor` is the highest level at which the pools hold that many
+        in the price band: the best k are then in the band and of that level or higher.
+        `full` says that the pools hold that many at all: a category candidate scores under
+        1.5 and a store item 2 or more, so none is needed. Items with several metadata rows
+        are not counted, as they may be the same item. Counting goes by (user, level), a short
+        table.
         """
-        user = Window.partitionBy("user_idx")
-        held = (profile.filter(F.col("store_idx").isNotNull())
-                .groupBy("user_idx", "store_idx").agg(F.sum("items").alias("h")))
-        own = held.join(medians, "user_idx", "left").withColumn(
-            "share", F.ceil(F.lit(float(k)) / F.count(F.lit(1)).over(user)))
-        in_band = F.transform(F.filter("sure", lambda e: self._near(e["price"])), lambda e: e["pop"])
-        at = (F.col("share") + F.col("h")).cast("int")
-        return (own.join(self.stores_shelf.select("store_idx", "sure"), "store_idx")
-                .select("user_idx", "store_idx", "med_price", F.get(in_band, at - 1).alias("edge"),
-                        (F.size("sure") - F.col("h")).alias("unseen"))
-                .withColumn("floor", F.when(F.count_if(F.col("edge").isNull()).over(user) == 0,
-                                            F.min("edge").over(user)))
-                .withColumn("full", F.sum("unseen").over(user) >= k)
-                .drop("edge", "unseen"))
+        enough = F.lit(k) + F.col("h")
+        downwards = (Window.partitionBy("user_idx").orderBy(F.desc("level"))
+                     .rowsBetween(Window.unboundedPreceding, 0))
+        levels = (own.join(self.stores_shelf, "store_idx")
+                  .select("user_idx", "med_price", F.inline("entries")).filter("sure")
+                  .groupBy("user_idx", "level")
+                  .agg(F.count_if(self._near(F.col("price"))).alias("near"),
+                       F.count(F.lit(1)).alias("n")))
+        held = own.groupBy("user_idx").agg(F.sum("h").alias("h"))
+        return (levels.withColumn("near", F.sum("near").over(downwards))
+                .join(held, "user_idx")
+                .groupBy("user_idx", "h")
+                .agg(F.max(F.when(F.col("near") >= enough, F.col("level"))).alias("floor"),
+                     F.sum("n").alias("n"))
+                .select("user_idx", "floor", (F.col("n") >= enough).alias("full")))
 
     def _near(self, price: Column) -> Column:
         return (F.abs(price - F.col("med_price"))
@@ -141,15 +145,19 @@ class Content:
         weights = item_weights(histories)
         profile = snapshot(self.profile(weights), "content-profile")
         medians = self.median_prices(profile)
-        stores = snapshot(self._stores_of(profile, medians, k), "content-user-stores")
-
-        needed = F.col("floor").isNull() | (
-            (F.col("pop") >= F.col("floor")) & self._near(F.col("price")))
-        by_store = (stores.join(self.stores_shelf.select("store_idx", "entries"), "store_idx")
+        own = snapshot(profile.filter(F.col("store_idx").isNotNull())
+                       .groupBy("user_idx", "store_idx").agg(F.sum("items").alias("h"))
+                       .join(medians, "user_idx", "left"), "content-user-stores")
+        needs = snapshot(self._needs(own, k), "content-needs")
+
+        wanted = F.col("floor").isNull() | (
+            (F.col("level") >= F.col("floor")) & self._near(F.col("price")))
+        by_store = (own.join(needs, "user_idx")
+                    .join(self.stores_shelf, "store_idx")
                     .select("user_idx", "med_price", "floor", F.inline("entries"))
-                    .filter(needed)
+                    .filter(wanted)
                     .withColumn("signal", F.lit(STORE_SIGNAL)))
-        served = stores.filter("full").select("user_idx")
+        served = needs.filter("full").select("user_idx")
         by_category = (profile.filter(F.col("main_category_idx").isNotNull())
                        .groupBy("user_idx", "main_category_idx").agg(F.sum("m").alias("w"))
                        .join(served, "user_idx", "left_anti")
