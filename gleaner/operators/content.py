@@ -57,10 +57,11 @@ class Content:
     def _shelf(self) -> DataFrame:
         """One row per store: its pool as an array of at most per_store + cold_slots entries.
 
-        `sure` marks items with one metadata row; `level` grades popularity in quarter octaves.
+        `sure` marks items with one metadata row; `level` grades popularity in steps of 1/32
+        octave, about 2%.
         """
         rows = self.catalogue.groupBy("item_idx").agg(F.count(F.lit(1)).alias("rows"))
-        level = F.floor(4 * F.log2(F.col("pop") + F.lit(1.0))).cast("int")
+        level = F.floor(32 * F.log2(F.col("pop") + F.lit(1.0))).cast("int")
         entry = F.struct("item_idx", "price", "pop", level.alias("level"),
                          (F.col("rows") == 1).alias("sure"))
         return (self.stores.join(rows, "item_idx")
