@@ -145,7 +145,7 @@ class Content:
             raise RuntimeError("fit() has not been called")
         weights = item_weights(histories)
         profile = snapshot(self.profile(weights), "content-profile")
-        medians = self.median_prices(profile)
+        medians = snapshot(self.median_prices(profile), "content-medians")
         own = snapshot(profile.filter(F.col("store_idx").isNotNull())
                        .groupBy("user_idx", "store_idx").agg(F.sum("items").alias("h"))
                        .join(medians, "user_idx", "left"), "content-user-stores")
