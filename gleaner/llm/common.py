@@ -38,6 +38,21 @@ def by_value(name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
+def share(spark: SparkSession, value) -> Callable:
+    """Send `value` once to each executor; the result gives it back there.
+
+    It is pickled here with its classes by value, as a broadcast alone would only name them.
+    """
+    sent, opened = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get():
+        if not opened:
+            opened.append(cloudpickle.loads(sent.value))
+        return opened[0]
+
+    return get
+
+
 def map_columns(df: DataFrame, schema: str,
                 make: Callable[[dict[str, list]], dict[str, list] | None]) -> DataFrame:
     """Apply `make` to each Arrow batch as lists by column name.

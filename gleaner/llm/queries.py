@@ -3,8 +3,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gleaner.llm import sql
 from gleaner.llm.common import table
+from gleaner.llm.decontam import contamination, hit_words
+from gleaner.llm.mixing import mixture
 from gleaner.llm.tokens import token_counts
 
 
@@ -14,5 +18,21 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
                         public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts,)}
-EXPECTED: dict[str, str] = {}
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows of 10 words in every document."""
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", hit_words().alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("items") > 0).alias("contaminated"))
+
+
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How often the mix takes each document."""
+    return mixture(table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op7_mixing)}
+EXPECTED = {"op2_decontamination": sql.OP2, "op7_mixing": sql.OP7}

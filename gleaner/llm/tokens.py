@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import by_value, map_columns
+from gleaner.llm.common import by_value, map_columns, share
 
 by_value(__name__)
 
@@ -151,11 +151,11 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     counted each. Other columns are not read. Work is one pass without a shuffle; a task
     holds one batch, the merge table and at most CACHE counted pre-tokens.
     """
-    merges = docs.sparkSession.sparkContext.broadcast(MergeTable.of_pieces(model_path))
+    merges = share(docs.sparkSession, MergeTable.of_pieces(model_path))
     known: dict[str, int] = {}
 
     def count(batch):
-        merge = merges.value
+        merge = merges()
         texts = [t or "" for t in batch["text"]]
         words = [merge.pretokens(t) for t in texts]
         if len(known) > CACHE:
