@@ -8,7 +8,6 @@ all terms agree.
 """
 from __future__ import annotations
 
-import hashlib
 from bisect import bisect_left
 from collections import Counter
 
@@ -77,7 +76,7 @@ def index(docs: DataFrame, terms: dict[bytes, int], anchors: set[int], reach: in
 
     def post(batch):
         known, rare = sent.value
-        out = {"doc_id": batch["doc_id"], "digest": [], "n_words": [], "terms": [], "positions": []}
+        out = {"doc_id": batch["doc_id"], "digest": batch["digest"], "n_words": [], "terms": [], "positions": []}
         for text in batch["text"]:
             words = words_of(text)
             lists: dict[int, list[int]] = {}
@@ -88,16 +87,14 @@ def index(docs: DataFrame, terms: dict[bytes, int], anchors: set[int], reach: in
                     if n is not None:
                         lists.setdefault(n, []).append(i)
                 done = max(done, min(len(words), p + reach + 1))
-            out["digest"].append(hashlib.blake2b(
-                (text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest())
             out["n_words"].append(len(words))
             out["terms"].append(list(lists))
             out["positions"].append(list(lists.values()))
         return out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_columns(docs.select("doc_id", "text"),
-                       f"doc_id {kind}, digest binary, n_words bigint, terms array<int>,"
+    return map_columns(docs.select("doc_id", "text", F.xxhash64("text").alias("digest")),
+                       f"doc_id {kind}, digest bigint, n_words bigint, terms array<int>,"
                        " positions array<array<int>>", post)
 
 
@@ -134,10 +131,10 @@ class Phrase:
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10, slack: int = 3,
                   near_share: float = 0.8, terms_a_block: int = TERMS_A_BLOCK) -> DataFrame:
-    """doc_id, n_words, n_hit, spans, items, near_items of every document.
+    """doc_id, digest, n_words, spans, items, near_items of every document.
 
     Exact: `items` are those with a window (see `phrases`) that occurs in the document, `spans`
-    the merged [start, end) word intervals of all occurrences, `n_hit` the words inside them.
+    the merged [start, end) word intervals of all occurrences. `digest` is xxhash64 of the text.
     Proximity: `near_items` are further items with a window of which `near_share` of the words
     occur within `slack` words of their place, the window's rarest word among them.
 
@@ -183,7 +180,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, slack: int
             return out
 
         kind = docs.schema["doc_id"].dataType.simpleString()
-        here = map_columns(stored, f"doc_id {kind}, digest binary, n_words bigint,"
+        here = map_columns(stored, f"doc_id {kind}, digest bigint, n_words bigint,"
                            " spans array<array<int>>, items array<string>, near_items array<string>",
                            match).withColumn("block", F.lit(block))
         found = here if found is None else found.unionByName(here)
@@ -202,7 +199,7 @@ def _combined(found: DataFrame) -> DataFrame:
         return {**batch, "spans": [merged({tuple(s) for s in spans}) for spans in batch["spans"]]}
 
     kind = found.schema["doc_id"].dataType.simpleString()
-    return (map_columns(one, f"doc_id {kind}, digest binary, n_words bigint, copies bigint,"
+    return (map_columns(one, f"doc_id {kind}, digest bigint, n_words bigint, copies bigint,"
                         " spans array<array<int>>, items array<string>, near array<string>", unite)
             .select("doc_id", "digest", "n_words", "spans", F.sort_array("items").alias("items"),
                     F.sort_array(F.array_except("near", "items")).alias("near_items"),

@@ -9,6 +9,8 @@ from gleaner.llm import sql
 from gleaner.llm.common import table
 from gleaner.llm.decontam import contamination, hit_words
 from gleaner.llm.mixing import mixture
+from gleaner.llm.pii import personal_data, personal_digest
+from gleaner.llm.secrets import secret_digest, secret_spans
 from gleaner.llm.tokens import token_counts
 
 
@@ -28,11 +30,22 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         (F.size("items") > 0).alias("contaminated"))
 
 
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document, live or widely copied."""
+    return secret_digest(secret_spans(table(spark, folder, "documents")))
+
+
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    return personal_digest(personal_data(table(spark, folder, "documents")))
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How often the mix takes each document."""
     return mixture(table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op7_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_secret_scan,
+                                  op5_personal_data, op7_mixing)}
 EXPECTED = {"op2_decontamination": sql.OP2, "op7_mixing": sql.OP7}
