@@ -10,8 +10,10 @@ from gleaner.llm.common import table
 from gleaner.llm.decontam import contamination, hit_words
 from gleaner.llm.mixing import mixture
 from gleaner.llm.pii import personal_data, personal_digest
-from gleaner.llm.secrets import secret_digest, secret_spans
+from gleaner.llm.quality import fit_quality
+from gleaner.llm.ownership import secret_digest, secret_spans
 from gleaner.llm.tokens import token_counts
+from gleaner.llm.toxicity import fit_toxicity
 
 
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,6 +48,23 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, and whether it is kept."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = fit_quality(docs, labels.select("doc_id", labels["quality"].alias("label")))
+    return model.score(docs).select(
+        "doc_id", "q_score", "q_text", "q_meta", (F.col("q_score") >= 0.5).alias("kept"))
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document. Documents held out are never learned from."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    model = fit_toxicity(docs, labels.filter(~held).select("doc_id", labels["toxic"].alias("label")))
+    return model.score(docs, "doc_id").select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_secret_scan,
-                                  op5_personal_data, op7_mixing)}
+                                  op5_personal_data, op7_mixing, op8_quality, op9_toxicity)}
 EXPECTED = {"op2_decontamination": sql.OP2, "op7_mixing": sql.OP7}
