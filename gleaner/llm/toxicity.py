@@ -27,6 +27,7 @@ widerlich trottel hässlich hasse nutzlos estúpido estúpida idiota tonto tonta
 inútil payaso odio imbécile crétin stupide abruti ordure minable dégoûtant bouffon nul haine""".split())
 YOU = frozenset("""you your yours yourself u ur du dich dir dein deine ihr euch euer sie tu te toi ton ta tes
 vous votre vos tú ti tus usted ustedes vosotros""".split())
+STEMS = (4, 5, 6, 7)                      # letters of a word beginning
 NEAR = 5                                   # words between an insult and a second person
 _WORD = re.compile(r"[^\W\d_]+")
 # letters with signs or digits between them; possessive, so long runs stay linear
@@ -36,23 +37,41 @@ _PLAIN = str.maketrans({"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "
 _RUN = re.compile(r"(\w)\1{3,}")
 
 
-def features(text: str, learned: dict[str, float]) -> list[float]:
+class Lexicon:
+    """Weights of whole words and of word beginnings."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.words = {w: x for w, x in weights.items() if not w.endswith("*")}
+        self.stems = {w[:-1]: x for w, x in weights.items() if w.endswith("*")}
+        self.lengths = sorted({len(w) for w in self.stems})
+
+    def weight(self, word: str) -> float:
+        """Of the word or else of its heaviest learned beginning; 0 if there is none."""
+        own = self.words.get(word, 0.0)
+        if own or not self.stems:
+            return own
+        return max((self.stems.get(word[:k], 0.0) for k in self.lengths if len(word) >= k), default=0.0)
+
+
+def features(text: str, learned: Lexicon) -> list[float]:
     low = text.lower()
     words = _WORD.findall(low)
     n, chars = max(len(words), 1), max(len(text), 1)
-    hits = [learned[w] for w in words if w in learned]
+    weights = [learned.weight(w) for w in words]
+    hit = [i for i, x in enumerate(weights) if x]
     given = [i for i, w in enumerate(words) if w in INSULTS]
     person = [i for i, w in enumerate(words) if w in YOU]
-    bad = sorted({*given, *(i for i, w in enumerate(words) if w in learned)} if hits else given)
-    masked = _MASKED.findall(low)
-    bare = [m.translate(_PLAIN) for m in masked]
+    bad = sorted({*given, *hit})
+    different = len({words[i] for i in hit})
+    bare = [m.translate(_PLAIN) for m in _MASKED.findall(low)]
     letters = sum(map(len, words))
     upper = sum(c.isupper() for c in text) if not text.islower() else 0
-    return [len(hits) / n, math.log1p(len(hits)), sum(hits) / n, max(hits, default=0.0), sum(hits),
+    return [len(hit) / n, math.log1p(len(hit)), sum(weights) / n, max(weights, default=0.0),
+            different / n, math.log1p(different),
             len(given) / n, math.log1p(len(given)), _near(bad, person) / n, len(person) / n,
             upper / max(letters, 1), (text.count("!") + text.count("?")) / chars,
-            (chars - letters - text.count(" ")) / chars, len(masked) / n,
-            float(sum(b in INSULTS or b in learned for b in bare)),
+            (chars - letters - text.count(" ")) / chars, len(bare) / n,
+            float(sum(b in INSULTS or learned.weight(b) > 0 for b in bare)),
             len(_RUN.findall(low)) / n, math.log1p(len(words))]
 
 
@@ -68,28 +87,40 @@ def _near(first: list[int], second: list[int]) -> int:
 
 def learn_lexicon(texts: DataFrame, most_words: int = 500, least_share: float = 0.01,
                   least_ratio: float = 8.0) -> dict[str, float]:
-    """Weights of words that documents with label 1 hold `least_ratio` times as often.
+    """Weights of words, and of word beginnings (written with a star) of STEMS letters.
 
-    A word must be in `least_share` of those documents, and in three. The weight is the root of
-    its likelihood ratio, so words seen often weigh more. `most_words` bounds the dictionary.
+    A text counts each of its different words once. Taken are words and beginnings that are
+    `least_ratio` times as frequent in texts with label 1, and stand in `least_share` of those
+    texts and in three. The weight is the root of the likelihood ratio, so words seen often
+    weigh more. `most_words` bounds the dictionary, not the texts.
     """
     def count(batch):
-        seen = {0: Counter(), 1: Counter()}
+        uses = {0: Counter(), 1: Counter()}
+        held, total = Counter(), Counter()
         for text, label in zip(batch["text"], batch["label"]):
-            seen[label].update(set(_WORD.findall((text or "").lower())))
-            seen[label]["\0"] += 1                      # the documents themselves
-        words = list({*seen[0], *seen[1]})
-        return {"word": words, "clean": [seen[0][w] for w in words], "toxic": [seen[1][w] for w in words]}
-
-    counts = map_columns(texts.select("text", "label"), "word string, clean bigint, toxic bigint", count)
-    counts = counts.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+            words = set(_WORD.findall((text or "").lower()))
+            own = Counter(words)
+            own.update(w[:k] + "*" for w in words for k in STEMS if len(w) > k)
+            uses[label].update(own)
+            total[label] += len(words)
+            if label:
+                held.update(own.keys())
+        held["\0"] = sum(batch["label"])                # the totals go under a name no word has
+        uses[0]["\0"], uses[1]["\0"] = total[0], total[1]
+        names = list({*uses[0], *uses[1]})
+        return {"word": names, "clean": [uses[0][w] for w in names],
+                "toxic": [uses[1][w] for w in names], "held": [held[w] for w in names]}
+
+    counts = map_columns(texts.select("text", "label"),
+                         "word string, clean bigint, toxic bigint, held bigint", count)
+    counts = counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "held")])
     whole = counts.filter(F.col("word") == "\0").first()
     if whole is None or not whole["toxic"]:
         return {}
     ratio = ((F.col("toxic") + 0.5) / (whole["toxic"] + 1.0)) / ((F.col("clean") + 0.5) / (whole["clean"] + 1.0))
     weight = F.sqrt(2 * F.col("toxic") * F.log(ratio))
     best = (counts.filter((F.col("word") != "\0") & (ratio >= least_ratio)
-                          & (F.col("toxic") >= max(3, least_share * whole["toxic"])))
+                          & (F.col("held") >= max(3, least_share * whole["held"])))
             .select("word", weight.alias("weight")).orderBy(F.desc("weight"), "word").limit(most_words))
     return {r["word"]: r["weight"] for r in best.collect()}
 
@@ -108,7 +139,7 @@ class Toxicity:
 
 
 def featured(docs: DataFrame, lexicon: dict[str, float]) -> Column:
-    sent = share(docs.sparkSession, lexicon)
+    sent = share(docs.sparkSession, Lexicon(lexicon))
 
     @F.pandas_udf("array<double>")
     def make(texts: pd.Series) -> pd.Series:
