@@ -76,49 +76,85 @@ def map_columns(df: DataFrame, schema: str,
     return df.mapInArrow(run, schema)
 
 
-def stars(edges: DataFrame, label: str, rounds: int = 40) -> DataFrame:
-    """Connected components of (a, b) links as (node, root), the root being the smallest node.
-
-    Each round points every node at the smallest root among its neighbours' roots, hooks
-    roots to smaller ones and then shortens paths by following the pointer once. Each round
-    works on links between roots only, is written down, and links inside one component
-    vanish, so the data shrink fast. Only a count of remaining links reaches the driver.
-    A chain of any length is finished: the loop ends when no link is left, and raises after
-    `rounds` rounds (each halves the longest path at least).
+def map_groups(df: DataFrame, keys: list[str], schema: str,
+               make: Callable[[dict[str, list]], dict[str, list] | None]) -> DataFrame:
+    """Apply `make` to all rows of each group of `keys`, as lists by column name.
+
+    For groups of bounded size only. Many small groups cost little, as rows are cut into
+    groups while they stream through in sorted order.
+    """
+    target = T.StructType.fromDDL(schema)
+    from pyspark.sql.pandas.types import to_arrow_schema
+    arrow, columns = to_arrow_schema(target), df.columns
+    at = [columns.index(k) for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows, out = None, [], {n: [] for n in target.names}
+
+        def close():
+            made = make({c: [r[i] for r in rows] for i, c in enumerate(columns)}) if rows else None
+            for n in target.names if made else ():
+                out[n].extend(made[n])
+
+        def flush():
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array(out[n], type=arrow.field(n).type) for n in target.names], schema=arrow)
+            for n in target.names:
+                out[n].clear()
+            return batch
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                key = tuple(row[i] for i in at)
+                if key != group:
+                    close()
+                    group, rows = key, []
+                rows.append(row)
+            if out[target.names[0]]:
+                yield flush()
+        close()
+        yield flush()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def components(links: DataFrame, label: str, rounds: int = 60) -> DataFrame:
+    """Connected components of links (a, b): node and root, the smallest node reachable.
+
+    In each round every node points at the smallest of itself and its neighbours, pointers are
+    followed to their ends, and the links move to those ends; links inside one component
+    vanish. A node that is not smaller than all its neighbours is gone after the round, so
+    few rounds are needed, also for long chains. Tables are written between rounds; only
+    whether links are left reaches the driver. Nodes without links are not in the result.
     """
-    links = snapshot(edges.select("a", "b").filter("a <> b").distinct(), f"{label}-links")
+    links = snapshot(links.select("a", "b").filter("a <> b").distinct(), f"{label}-links")
     points = None
     for _ in range(rounds):
         if links.isEmpty():
             break
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # the smallest neighbour, or the node itself where it is the smallest around
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(
-            F.col("a").alias("node"), F.least("a", "m").alias("up"))
-        low = snapshot(low, f"{label}-low")
-        # follow the pointers to their local minima: path halving inside this round
+        low = snapshot(both.groupBy("a").agg(F.min("b").alias("m")).select(
+            F.col("a").alias("node"), F.least("a", "m").alias("root")), f"{label}-low")
         while True:
-            up = low.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            jumped = snapshot(low.join(up, "up", "left").select(
-                "node", F.coalesce("top", "up").alias("up"),
-                (F.coalesce("top", "up") < F.col("up")).alias("moved")), f"{label}-jump")
-            low = jumped.drop("moved")
-            if jumped.filter("moved").isEmpty():
+            ahead = low.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            low = snapshot(low.join(ahead, "root").select(
+                "node", F.col("next").alias("root"), (F.col("next") < F.col("root")).alias("moved")),
+                f"{label}-low")
+            still = not low.filter("moved").isEmpty()
+            low = low.drop("moved")
+            if not still:
                 break
-        points = low if points is None else snapshot(
-            points.withColumnRenamed("up", "mid").join(
-                low.select(F.col("node").alias("mid"), "up"), "mid", "left")
-            .select("node", F.coalesce("up", "mid").alias("up")).unionByName(
-                low.join(points, "node", "left_anti")), f"{label}-points")
-        root = low.select(F.col("node"), F.col("up"))
+        if points is None:
+            points = low
+        else:
+            points = snapshot(points.join(low.select(F.col("node").alias("root"), F.col("root").alias("next")),
+                                          "root", "left")
+                              .select("node", F.coalesce("next", "root").alias("root")), f"{label}-points")
         links = snapshot(
-            links.join(root.select(F.col("node").alias("a"), F.col("up").alias("ra")), "a")
-            .join(root.select(F.col("node").alias("b"), F.col("up").alias("rb")), "b")
-            .filter("ra <> rb")
-            .select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(),
+            links.join(low.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
+            .join(low.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+            .filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(),
             f"{label}-links")
     else:
         raise RuntimeError(f"components not finished after {rounds} rounds")
-    if points is None:
-        return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
-    return points.withColumnRenamed("up", "root")
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root")) if points is None else points

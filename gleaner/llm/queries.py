@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.llm import sql
 from gleaner.llm.common import table
 from gleaner.llm.decontam import contamination, hit_words
+from gleaner.llm.minhash import near_duplicates
 from gleaner.llm.mixing import mixture
 from gleaner.llm.pii import personal_data, personal_digest
 from gleaner.llm.quality import fit_quality
@@ -37,6 +38,11 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_digest(secret_spans(table(spark, folder, "documents")))
 
 
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document."""
     return personal_digest(personal_data(table(spark, folder, "documents")))
@@ -66,5 +72,6 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_secret_scan,
-                                  op5_personal_data, op7_mixing, op8_quality, op9_toxicity)}
+                                  op4_near_duplicates, op5_personal_data, op7_mixing,
+                                  op8_quality, op9_toxicity)}
 EXPECTED = {"op2_decontamination": sql.OP2, "op7_mixing": sql.OP7}
