@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import sql
+from gleaner.llm.chat import formatted, read_back
 from gleaner.llm.common import table
 from gleaner.llm.decontam import contamination, hit_words
 from gleaner.llm.minhash import near_duplicates
@@ -48,6 +49,15 @@ def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_digest(personal_data(table(spark, folder, "documents")))
 
 
+def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, and one whose texts hold the template's own marks, read back."""
+    hard = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)],
+                                 "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(formatted(rows.unionByName(more))).drop("n_rewrites")
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How often the mix takes each document."""
     return mixture(table(spark, folder, "documents")).select(
@@ -72,6 +82,6 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_secret_scan,
-                                  op4_near_duplicates, op5_personal_data, op7_mixing,
-                                  op8_quality, op9_toxicity)}
-EXPECTED = {"op2_decontamination": sql.OP2, "op7_mixing": sql.OP7}
+                                  op4_near_duplicates, op5_personal_data, op6_chat_format,
+                                  op7_mixing, op8_quality, op9_toxicity)}
+EXPECTED = {"op2_decontamination": sql.OP2, "op6_chat_format": sql.OP6, "op7_mixing": sql.OP7}

@@ -56,3 +56,25 @@ SELECT s.doc_id, s.size, e.source_size, e.target,
 FROM s JOIN e ON s.source IS NOT DISTINCT FROM e.source
 JOIN x ON s.source IS NOT DISTINCT FROM x.source AND s.k = x.k
 """
+
+OP6 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+x AS (SELECT *, coalesce(role = 'assistant', false) AS learned,
+        length(text) + length(text) - length(replace(text, '\', ''))
+        + length(text) - length(replace(text, '#', '')) - len(regexp_extract_all(text, '#+'))
+        + (length(text) - length(replace(text, '</turn>', ''))) / 7 AS text_chars,
+        length(role) + length(role) - length(replace(role, '\', ''))
+        + length(role) - length(replace(role, '#', '')) - len(regexp_extract_all(role, '#+'))
+        + (length(role) - length(replace(role, '</turn>', ''))) / 7
+        + length(role) - length(replace(role, ':', '')) AS role_chars FROM c)
+SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE learned), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE learned), '')) AS loss_sha256,
+  sum(role_chars + text_chars + 14)::BIGINT AS formatted_chars
+FROM x GROUP BY conv_id
+"""
