@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -252,8 +253,6 @@ def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
             out.append("".join(parts) + text[done:] if spans else text)
         return out
 
-    import pandas as pd
-
     @F.pandas_udf("string")
     def covered(text: pd.Series, marks: pd.Series) -> pd.Series:
         return pd.Series(cover({"text": text, "marks": [None if m is None else list(m) for m in marks]}))

@@ -5,6 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gleaner.llm import sql
 from gleaner.llm.chat import formatted, read_back
 from gleaner.llm.common import table
@@ -84,4 +85,5 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_secret_scan,
                                   op4_near_duplicates, op5_personal_data, op6_chat_format,
                                   op7_mixing, op8_quality, op9_toxicity)}
+QUERIES["pipeline"] = corpus_pipeline.run
 EXPECTED = {"op2_decontamination": sql.OP2, "op6_chat_format": sql.OP6, "op7_mixing": sql.OP7}
