@@ -10,6 +10,7 @@ from gleaner.llm import sql
 from gleaner.llm.chat import formatted, read_back
 from gleaner.llm.common import table
 from gleaner.llm.decontam import contamination, hit_words
+from gleaner.llm.flatgraph import near_vectors
 from gleaner.llm.minhash import near_duplicates
 from gleaner.llm.mixing import mixture
 from gleaner.llm.pii import personal_data, personal_digest
@@ -82,8 +83,15 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_vector_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of every embedding."""
+    return near_vectors(table(spark, folder, "embeddings")).select(
+        "vec_id", "n_links", "component_id", "kept")
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_secret_scan,
                                   op4_near_duplicates, op5_personal_data, op6_chat_format,
-                                  op7_mixing, op8_quality, op9_toxicity)}
+                                  op7_mixing, op8_quality, op9_toxicity, op10_vector_duplicates)}
 QUERIES["pipeline"] = corpus_pipeline.run
-EXPECTED = {"op2_decontamination": sql.OP2, "op6_chat_format": sql.OP6, "op7_mixing": sql.OP7}
+EXPECTED = {"op2_decontamination": sql.OP2, "op6_chat_format": sql.OP6, "op7_mixing": sql.OP7,
+            "op10_vector_duplicates": sql.OP10}

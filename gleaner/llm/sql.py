@@ -78,3 +78,20 @@ SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns,
   sum(role_chars + text_chars + 14)::BIGINT AS formatted_chars
 FROM x GROUP BY conv_id
 """
+
+OP10 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND NOT list_contains([x IS NULL OR NOT isfinite(x) FOR x IN embedding], true)
+    AND list_max([abs(x) FOR x IN embedding]) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+      ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+      AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r(n, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.n),
+c AS (SELECT n, min(c) AS component_id FROM r GROUP BY n),
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links,
+  coalesce(component_id, e.vec_id) AS component_id, coalesce(e.vec_id = coalesce(component_id, e.vec_id), true) AS kept
+FROM embeddings e LEFT JOIN k ON k.a = e.vec_id LEFT JOIN c ON c.n = e.vec_id
+"""
