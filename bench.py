@@ -1,12 +1,16 @@
 """Time the steps of a full evaluation on the warehouse tables; prints one JSON line.
 
 Each step is forced to completion: tables are written, reports are collected. Settings follow
-a full evaluation: all qualified users of the test period, 500 candidates each.
+a full evaluation: all qualified users of the test period, 500 candidates each. The steps run
+on the given tables and, before that, on the ones a tenth the size next to them, so that fixed
+cost and cost per row can be told apart.
 """
 from __future__ import annotations
 
 import json
 import os
+import shutil
+import tempfile
 import time
 import uuid
 
@@ -25,11 +29,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 K, KS = 500, (10, 100, 500)
 
 
-def main() -> None:
-    spark = build_session("bench", f"local[{CPUS}]", {
-        "spark.sql.shuffle.partitions": CPUS, "spark.driver.memory": "12g",
-        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
-    spark.sparkContext.setLogLevel("ERROR")
+def steps(spark, folder: str) -> dict[str, float]:
     seconds: dict[str, float] = {}
 
     def timed(name, step):
@@ -38,7 +38,6 @@ def main() -> None:
         seconds[name] = round(time.perf_counter() - start, 3)
         return out
 
-    spark.range(1_000_000).selectExpr("sum(id)").collect()  # session warm-up, not timed
     split = warehouse.WAREHOUSE_SPLIT
 
     def store(table, name):
@@ -48,14 +47,14 @@ def main() -> None:
 
     def ingest_reviews():
         reviews = snapshot(ingest.clean_reviews(
-            warehouse.raw_reviews(spark, FOLDER), time_range=(0, ingest.TIMESTAMP_MS_MAX)), "reviews")
+            warehouse.raw_reviews(spark, folder), time_range=(0, ingest.TIMESTAMP_MS_MAX)), "reviews")
         maps = [snapshot(ingest.dense_ids(reviews, key, idx), idx) for key, idx in (
             ("user_id", "user_idx"), ("parent_asin", "item_idx"), ("category", "category_idx"))]
         return store(ingest.encode_dedupe(reviews, *maps), "encoded")
 
     timed("ingest", ingest_reviews)
-    inter = timed("interactions", lambda: store(warehouse.interactions(spark, FOLDER), "inter"))
-    items = warehouse.items(spark, FOLDER)
+    inter = timed("interactions", lambda: store(warehouse.interactions(spark, folder), "inter"))
+    items = warehouse.items(spark, folder)
     timed("split_summary", lambda: split_summary(inter, split).collect())
     ev = timed("eval_set", lambda: build_eval_set(inter, split, "test"))
     timed("eval_profile", lambda: eval_profile(ev).collect())
@@ -73,13 +72,16 @@ def main() -> None:
              "weighted_rrf": timed("weighted_rrf", lambda: snapshot(
                  fusion.weighted_rrf(lists, K), "recs-rrf"))}
     everything = {**lists, **fused}
+    found = timed("hits", lambda: snapshot(metrics.found_by(everything, ev.truths), "found"))
     timed("metrics", lambda: metrics.evaluate(
-        everything, ev.truths, KS, diagnostics.catalogue_size(inter, ev.cutoff), K).collect())
+        everything, ev.truths, KS, diagnostics.catalogue_size(inter, ev.cutoff), K,
+        found=found).collect())
     timed("history_segments", lambda: metrics.evaluate(
-        everything, ev.truths, KS, segments=metrics.history_segments(ev.histories)).collect())
-    timed("union_ceiling", lambda: fusion.union_recall_ceiling(lists, ev.truths).collect())
-    timed("paired_bootstrap", lambda: bootstrap.paired_bootstrap(
-        lists["popularity"], fused["weighted_rrf"], ev.truths, K).collect())
+        everything, ev.truths, KS, segments=metrics.history_segments(ev.histories),
+        found=found).collect())
+    timed("union_ceiling", lambda: fusion.union_recall_ceiling(lists, ev.truths, found).collect())
+    timed("paired_bootstrap", lambda: bootstrap.interval_of(bootstrap.differences_of(
+        found, ev.truths, "popularity", "weighted_rrf", K)).collect())
     timed("catalogue_diagnostics", lambda: diagnostics.catalogue_diagnostics(
         inter, ev.cutoff, ev.truths).collect())
     timed("reachability", lambda: diagnostics.channel_reachability(
@@ -88,10 +90,27 @@ def main() -> None:
         quality.overall_scale(inter), quality.user_activity(inter), quality.item_long_tail(inter),
         quality.yearly_volume(inter), quality.eligibility(inter, split),
         quality.anomalies(inter))])
+    return seconds
+
+
+def main() -> None:
+    shared = tempfile.mkdtemp(prefix="bench-")
+    spark = build_session("bench", f"local[{CPUS}]", {
+        "spark.sql.shuffle.partitions": CPUS, "spark.driver.memory": "12g",
+        "spark.checkpoint.dir": shared,
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+    spark.sparkContext.setLogLevel("ERROR")
+    sf = os.path.basename(FOLDER.rstrip("/")).removeprefix("sf")
+    small = os.path.join(os.path.dirname(FOLDER.rstrip("/")), "sf0.01")
+    try:
+        spark.range(1_000_000).selectExpr("sum(id)").collect()  # session warm-up, not timed
+        before = steps(spark, small) if sf == "0.1" and os.path.isdir(small) else {}
+        seconds = steps(spark, FOLDER)
+    finally:
+        spark.stop()
+        shutil.rmtree(shared, ignore_errors=True)
     print(json.dumps({"metric": "evaluation_total", "value": round(sum(seconds.values()), 3),
-                      "unit": "sec", "queries": seconds,
-                      "sf": os.path.basename(FOLDER.rstrip("/")).removeprefix("sf")}))
-    spark.stop()
+                      "unit": "sec", "queries": seconds, "sf": sf, "queries_at_sf0.01": before}))
 
 
 if __name__ == "__main__":

@@ -1,14 +1,17 @@
 from gleaner.functions.expressions import (
+    date_of,
+    day_of,
     hash_bucket,
     half_even,
     int_array,
     price_to_double,
+    seconds_of,
     seeded_digest,
     year_of,
 )
 from gleaner.functions.grouping import global_positions, group_positions, top_k
 
 __all__ = [
-    "global_positions", "group_positions", "half_even", "hash_bucket", "int_array",
-    "price_to_double", "seeded_digest", "top_k", "year_of",
+    "date_of", "day_of", "global_positions", "group_positions", "half_even", "hash_bucket", "int_array",
+    "price_to_double", "seconds_of", "seeded_digest", "top_k", "year_of",
 ]

@@ -35,5 +35,20 @@ def price_to_double(price: Column) -> Column:
     return F.nullif(bare, F.lit("None")).try_cast("double")
 
 
+def date_of(ts: Column) -> Column:
+    """UTC date of unix seconds, whatever the session's zone."""
+    return F.date_from_unix_date(F.floor(ts / 86_400).cast("int"))
+
+
+def day_of(ts: Column) -> Column:
+    return date_of(ts).cast("string")
+
+
 def year_of(ts: Column) -> Column:
-    return F.year(F.timestamp_seconds(ts))
+    return F.year(date_of(ts))
+
+
+def seconds_of(ts: Column) -> Column:
+    """Unix seconds of a zone-less timestamp read as UTC, whatever the session's zone."""
+    return (F.unix_date(ts.cast("date")).cast("bigint") * 86_400
+            + F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.second(ts))

@@ -112,7 +112,8 @@ class Content:
         in the price band: the best k are then in the band and of that level or higher.
         `full` says that the pools hold that many at all: a category candidate scores under
         1.5 and a store item 2 or more, so none is needed. Items with several metadata rows
-        are not counted, as they may be the same item. Counting goes by (user, level), a short
+        are not counted, as they may be the same item; a user whose stores list nothing else has
+        no row here, and all of those stores' entries are candidates. Counting goes by (user, level), a short
         table.
         """
         enough = F.lit(k) + F.col("h")
@@ -139,7 +140,8 @@ class Content:
         """Best signal per candidate plus a price bonus; unseen items, best k.
 
         Ties go to the more popular item, then the smaller id, then the smaller price. Only
-        candidates that can be among a user's best k are generated.
+        candidates that can be among a user's best k are generated. Writes four tables that it
+        reads several times, so jobs run before the result is used.
         """
         if self.catalogue is None:
             raise RuntimeError("fit() has not been called")
@@ -153,7 +155,7 @@ class Content:
 
         wanted = F.col("floor").isNull() | (
             (F.col("level") >= F.col("floor")) & self._near(F.col("price")))
-        by_store = (own.join(needs, "user_idx")
+        by_store = (own.join(needs, "user_idx", "left")
                     .join(self.stores_shelf, "store_idx")
                     .select("user_idx", "med_price", "floor", F.inline("entries"))
                     .filter(wanted)

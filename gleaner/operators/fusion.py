@@ -76,14 +76,19 @@ def weighted_rrf(channels: Mapping[str, DataFrame], k: int,
     return top_k(scored, ["user_idx"], [F.desc("score"), F.asc("item_idx")], k)
 
 
-def union_recall_ceiling(channels: Mapping[str, DataFrame], truths: DataFrame) -> DataFrame:
-    """Recall if every candidate of every channel were kept: the best any fusion could do."""
-    found = (stack(channels).filter(F.col("item_idx") >= 0)
-             .select("user_idx", "item_idx")
-             .join(truths.select("user_idx", "item_idx"), ["user_idx", "item_idx"], "left_semi")
-             .distinct()
-             .withColumn("found", F.lit(1)))
-    per_user = (truths.join(found, ["user_idx", "item_idx"], "left")
+def union_recall_ceiling(channels: Mapping[str, DataFrame], truths: DataFrame,
+                         found: DataFrame | None = None) -> DataFrame:
+    """Recall if every candidate of every channel were kept: the best any fusion could do.
+
+    `found` holds all channels' hits, if they have been made already.
+    """
+    if found is None:
+        reached = (stack(channels).filter(F.col("item_idx") >= 0).select("user_idx", "item_idx")
+                   .join(truths.select("user_idx", "item_idx"), ["user_idx", "item_idx"], "left_semi"))
+    else:
+        reached = found.filter(F.col("channel").isin(*channels)).select("user_idx", "item_idx")
+    per_user = (truths.join(reached.distinct().withColumn("found", F.lit(1)),
+                            ["user_idx", "item_idx"], "left")
                 .groupBy("user_idx")
                 .agg((F.count("found") / F.count(F.lit(1))).alias("share")))
     return per_user.agg(F.avg("share").alias("union_recall_ceiling"))

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions import global_positions, half_even, price_to_double, year_of
+from gleaner.functions import day_of, global_positions, half_even, price_to_double, year_of
 
 # Accepted times in milliseconds, 1996-01-01 to 2024-01-01, both inclusive.
 TIMESTAMP_MS_MIN = 820_454_400_000
@@ -83,8 +83,8 @@ def ingest_stats(reviews: DataFrame, interactions: DataFrame) -> DataFrame:
         F.countDistinct("user_idx").alias("n_users"),
         F.countDistinct("item_idx").alias("n_items"),
         F.countDistinct("category_idx").alias("n_categories"),
-        F.to_date(F.timestamp_seconds(F.min("ts"))).cast("string").alias("first_date"),
-        F.to_date(F.timestamp_seconds(F.max("ts"))).cast("string").alias("last_date"),
+        day_of(F.min("ts")).alias("first_date"),
+        day_of(F.max("ts")).alias("last_date"),
     )
     removed = F.try_divide(F.lit(100.0) * (F.col("raw_rows") - F.col("kept_rows")),
                            F.col("raw_rows"))

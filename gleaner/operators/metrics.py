@@ -26,6 +26,16 @@ def hits(recs: DataFrame, truths: DataFrame) -> DataFrame:
             .drop("_hit"))
 
 
+def found_by(channels: Mapping[str, DataFrame], truths: DataFrame) -> DataFrame:
+    """(channel, user_idx, rank, item_idx) of every hit of every list.
+
+    Small next to the lists: write it down once and hand it to all reports as `found`, so
+    that no list is joined to the truths again.
+    """
+    return (hits(stack(channels), truths).filter("hit")
+            .select("channel", "user_idx", "rank", "item_idx"))
+
+
 def ideal_dcg(n_truth: Column, k: int) -> Column:
     """DCG of a list whose first min(n_truth, k) places all hit."""
     places = F.sequence(F.lit(1), F.least(n_truth, F.lit(k)).cast("int"))
@@ -36,7 +46,7 @@ def _gains(ks: Sequence[int]) -> list[Column]:
     """Summed over hits and divided by the number of users, these are the macro averages."""
     out = []
     for k in ks:
-        within = F.col("hit") & (F.col("rank") <= k)
+        within = F.col("rank") <= k
         out.append(F.sum(F.when(within, 1.0 / F.col("n_truth")).otherwise(0.0))
                    .alias(f"recall@{k}"))
         out.append(F.sum(F.when(within, 1.0 / F.log2(F.col("rank") + F.lit(1.0))
@@ -54,18 +64,21 @@ def _check(ks: Sequence[int], k_max: int | None) -> None:
 
 def evaluate(channels: Mapping[str, DataFrame], truths: DataFrame, ks: Sequence[int] = (10,),
              n_items: DataFrame | int | None = None, k_max: int | None = None,
-             segments: DataFrame | None = None) -> DataFrame:
+             segments: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
     """Long table (channel, [segment,] metric, value, n_users).
 
     The mean runs over the users who have truths; a user without hits adds nothing to the
     sum, so hits are summed directly and no per-user table is made. `segments` (user_idx,
-    segment) repeats the evaluation per segment. `n_items` adds coverage.
+    segment) repeats the evaluation per segment. `n_items` adds coverage. `found` is what
+    `found_by` gives, if it has been made already.
     """
     _check(ks, k_max)
     by = ["channel"] + (["segment"] if segments is not None else [])
     sizes = truth_sizes(truths)
     # only hits need the user's truth count
-    found = hits(stack(channels), truths).filter("hit").join(sizes, "user_idx")
+    if found is None:
+        found = found_by(channels, truths)
+    found = found.filter(F.col("channel").isin(*channels)).join(sizes, "user_idx")
     if segments is not None:
         found = found.join(segments, "user_idx")
         users = (sizes.join(segments, "user_idx").groupBy("segment")

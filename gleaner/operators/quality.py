@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions import year_of
+from gleaner.functions import day_of, year_of
 from gleaner.operators.splits import DEFAULT_SPLIT, TimeSplit, before, in_period, segment_rows
 
 
@@ -16,8 +16,8 @@ def overall_scale(interactions: DataFrame) -> DataFrame:
         F.countDistinct("user_idx").alias("users"),
         F.countDistinct("item_idx").alias("items"),
         F.countDistinct("category_idx").alias("categories"),
-        F.to_date(F.timestamp_seconds(F.min("ts"))).cast("string").alias("first_date"),
-        F.to_date(F.timestamp_seconds(F.max("ts"))).cast("string").alias("last_date"))
+        day_of(F.min("ts")).alias("first_date"),
+        day_of(F.max("ts")).alias("last_date"))
         .withColumn("mean_per_user", F.try_divide("interactions", "users"))
         .withColumn("mean_per_item", F.try_divide("interactions", "items")))
 
@@ -100,7 +100,10 @@ def anomalies(interactions: DataFrame) -> DataFrame:
 
 def window_volume(interactions: DataFrame, windows: Mapping[str, tuple[int, int]],
                   norm: str) -> DataFrame:
-    """Per named period: interactions, per day, and relative to the period `norm`. One scan."""
+    """Per named period: interactions, per day, and relative to the period `norm`. One scan.
+
+    Every period has a row, also an empty one; relative to an empty `norm` all are null.
+    """
     if norm not in windows:
         raise ValueError(f"{norm!r} is none of the windows")
     lo, hi = min(a for a, _ in windows.values()), max(b for _, b in windows.values())
@@ -108,14 +111,13 @@ def window_volume(interactions: DataFrame, windows: Mapping[str, tuple[int, int]
                                  F.lit(b).alias("hi")) for name, (a, b) in windows.items()])
     ts = F.col("ts")
     holding = F.filter(periods, lambda p: (ts >= p["lo"]) & (ts < p["hi"]))
-    volume = (in_period(interactions, lo, hi).select(F.inline(holding))
-              .groupBy("window", "lo", "hi").agg(F.count(F.lit(1)).alias("interactions"))
+    held = (in_period(interactions, lo, hi).select(F.inline(holding))
+            .groupBy("window").agg(F.count(F.lit(1)).alias("interactions")))
+    volume = (interactions.sparkSession.range(1).select(F.inline(periods)).join(held, "window", "left")
+              .withColumn("interactions", F.coalesce("interactions", F.lit(0)))
               .withColumn("per_day", F.col("interactions") / ((F.col("hi") - F.col("lo")) / 86400)))
     usual = volume.filter(F.col("window") == norm).select("per_day")
     return volume.select(
-        "window", "interactions", "per_day",
-        F.to_date(F.timestamp_seconds("lo")).cast("string").alias("start"),
-        F.to_date(F.timestamp_seconds("hi")).cast("string").alias("stop"),
+        "window", "interactions", "per_day", day_of(F.col("lo")).alias("start"),
+        day_of(F.col("hi")).alias("stop"),
         F.try_divide(F.col("per_day"), usual.scalar()).alias("relative_to_norm"))
-
-

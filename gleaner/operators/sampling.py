@@ -13,6 +13,8 @@ def sample_users(interactions: DataFrame, fraction: float, seed: int = 42) -> Da
     """All rows of a hashed share of the users, ids unchanged. A filter; nothing is shuffled."""
     if not 0 < fraction < 1:
         raise ValueError(f"fraction must lie between 0 and 1, got {fraction}")
+    if fraction * SCALE < 1:
+        raise ValueError(f"fraction is in steps of 1/{SCALE}; {fraction} would choose nobody")
     return interactions.filter(hash_bucket("user_idx", seed, SCALE) < int(fraction * SCALE))
 
 

@@ -19,17 +19,28 @@ from gleaner.operators.popularity import Popularity
 from gleaner.operators.sampling import sample_stats, sample_users
 from gleaner.plans import runs
 from gleaner.session import prepare, shared_folder, snapshot
-from gleaner.sources import read_interactions, source_inventory, warehouse, write_by_year
+from gleaner.sources import (
+    category_paths,
+    inventory_digest,
+    read_interactions,
+    read_metadata,
+    read_reviews,
+    source_inventory,
+    warehouse,
+    write_by_year,
+)
 
 K = 50
 KS = (10, 50)
 SPLIT = warehouse.WAREHOUSE_SPLIT
-# early bounds: part of the catalogue has not been sold yet, so there are cold items
-EARLY = S.TimeSplit.of("1995-03-01", "1995-06-01", "1995-09-01")
+# items held back from the past, so that there are cold ones at the cutoff
+HELD_BACK = 10
 WINDOWS = {
     "2000-q1": S.TimeSplit.of("2000-01-01", "2000-04-01", "2000-07-01"),
     "2000-q3": S.TimeSplit.of("2000-07-01", "2000-10-01", "2001-01-01"),
 }
+# the data end on 2001-08-01, so the last period is empty
+GAP = S.TimeSplit.of("2001-01-01", "2001-08-02", "2001-10-01")
 RRF_WEIGHTS = (1.0, 1.0, 0.25)
 SAMPLE_FRACTION = 0.3
 SAMPLED_USERS = 50
@@ -115,8 +126,14 @@ class Workbench:
         return S.build_eval_set(self.interactions, SPLIT, "test")
 
     @cached_property
-    def early(self) -> S.EvalSet:
-        return S.build_eval_set(self.interactions, EARLY, "valid")
+    def sparse(self) -> DataFrame:
+        """The interactions without the past of every tenth item."""
+        cold = (F.col("item_idx") % HELD_BACK == 0) & (F.col("ts") < SPLIT.feature_cutoff("test"))
+        return self._stored(self.interactions.filter(~cold), "interactions-sparse")
+
+    @cached_property
+    def sparse_evaluation(self) -> S.EvalSet:
+        return S.build_eval_set(self.sparse, SPLIT, "test")
 
     @cached_property
     def popularity(self) -> Popularity:
@@ -136,12 +153,45 @@ class Workbench:
 
     @cached_property
     def content(self) -> Content:
-        return Content(self.items, per_store=40, per_category=60, cold_slots=15).fit(
-            self.interactions, self.early.cutoff)
+        return Content(self.items).fit(self.sparse, self.sparse_evaluation.cutoff)
+
+    @cached_property
+    def repeated_items(self) -> DataFrame:
+        """Item attributes in which most items have a second row, with another price; in
+        every fifth store all of them have."""
+        again = self.items.filter((F.col("item_idx") % 3 > 0) | (F.col("store_idx") % 5 == 0))
+        return self.items.unionByName(again.withColumn("price", F.round(F.col("price") * 1.25, 2)))
+
+    @cached_property
+    def content_repeated(self) -> Content:
+        return Content(self.repeated_items).fit(self.sparse, self.sparse_evaluation.cutoff)
+
+    @cached_property
+    def raw_json(self) -> str:
+        """The raw relations as gzip JSON lines, a folder for each category, with broken lines."""
+        path = f"{shared_folder(self.spark)}/raw-{uuid.uuid4().hex}"
+        broken = F.when(F.col("n") % 40 == 0, F.array(F.lit("{\"rating\": "), F.col("value")))
+        for name, rows, label in (("", warehouse.raw_reviews(self.spark, self.folder), "category"),
+                                  ("meta_", warehouse.raw_metadata(self.spark, self.folder), None)):
+            fields = [c for c in rows.columns if c not in ("category", "l_orderkey", "l_linenumber")]
+            lines = rows.select(F.col(label).alias("file") if label else F.lit("Parts").alias("file"),
+                                F.to_json(F.struct(*fields)).alias("value"),
+                                F.pmod(F.xxhash64(*fields), F.lit(1_000)).alias("n"))
+            lines = snapshot(lines.select("file", F.explode(F.coalesce(broken, F.array("value")))
+                                          .alias("value")), "json-lines")
+            for file in warehouse.CATEGORY_NAMES["p_type"] if label else ("Parts",):
+                (lines.filter(F.col("file") == file).select("value").write
+                 .option("compression", "gzip").text(f"{path}/{name}{file}.jsonl.gz"))
+        return path
 
     @cached_property
     def als(self) -> ImplicitALS:
-        return ImplicitALS(factors=16, iterations=5).fit(self.interactions, self.evaluation.cutoff)
+        return ImplicitALS(factors=32, iterations=10, min_user_interactions=10).fit(
+            self.interactions, self.evaluation.cutoff)
+
+    @cached_property
+    def als_vectors(self) -> DataFrame:
+        return snapshot(self.als.fold_in(self.evaluation.histories), "als-fold-in")
 
     @cached_property
     def lists(self) -> dict[str, DataFrame]:
@@ -155,6 +205,10 @@ class Workbench:
                 "weighted_rrf": snapshot(fusion.weighted_rrf(self.lists, K, RRF_WEIGHTS),
                                          "recs-rrf")}
 
+    @cached_property
+    def found(self) -> DataFrame:
+        return snapshot(metrics.found_by(self.all_lists, self.evaluation.truths), "found")
+
     @property
     def all_lists(self) -> dict[str, DataFrame]:
         return {**self.lists, **self.fused}
@@ -399,17 +453,22 @@ def content_cat_pool(w):
 
 @query
 def content_profile(w):
-    return w.content.profile(item_weights(w.early.histories)).drop("items")
+    return w.content.profile(item_weights(w.sparse_evaluation.histories)).drop("items")
 
 
 @query
 def content_user_price(w):
-    return Content.median_prices(w.content.profile(item_weights(w.early.histories)))
+    return Content.median_prices(w.content.profile(item_weights(w.sparse_evaluation.histories)))
 
 
 @query
 def content_recs(w):
-    return w.content.recommend(w.early.histories, K)
+    return w.content.recommend(w.sparse_evaluation.histories, K)
+
+
+@query
+def content_recs_repeated(w):
+    return w.content_repeated.recommend(w.sparse_evaluation.histories, K)
 
 
 @query
@@ -426,12 +485,56 @@ def als_input(w):
 
 @query
 def als_fold_in(w):
-    return w.als.fold_in(w.evaluation.histories)
+    """Per user: how far the folded-in vector is from solving its own normal equations.
+
+    With A = Y'Y + (alpha-1) Ys'Ys + reg n I and b = alpha sum(Ys), the largest |Ax - b| over the
+    largest |b|, here as the fact whether it is below 0.001. All of it by joins and sums.
+    """
+    als, vectors, items = w.als, w.als_vectors, w.als.item_factors
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
+                                   F.lit(0.0), lambda acc, v: acc + v)
+    cells = (items.select(F.posexplode("features").alias("i", "yi"), "features")
+             .select("i", F.posexplode("features").alias("j", "yj"), "yi")
+             .groupBy("i", "j").agg(F.sum(F.col("yi").cast("double") * F.col("yj")).alias("c")))
+    gram = (cells.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "c"))).alias("row"))
+            .agg(F.sort_array(F.collect_list(F.struct("i", F.col("row.c").alias("row")))).alias("g"))
+            .select(F.col("g.row").alias("gram")))
+    seen = (w.evaluation.histories.select("user_idx", "item_idx").distinct().join(items, "item_idx")
+            .join(vectors.select("user_idx", F.col("features").alias("x")), "user_idx")
+            .withColumn("p", dot(F.col("features"), F.col("x")))
+            .select("user_idx", F.posexplode("features").alias("i", "y"), "p")
+            .groupBy("user_idx", "i").agg(
+                F.sum((als.alpha - 1) * F.col("p") * F.col("y") - als.alpha * F.col("y")).alias("own"),
+                F.sum(als.alpha * F.col("y")).alias("b")))
+    whole = (vectors.crossJoin(gram).select(      # the second side is one row of factors^2 numbers
+        "user_idx", "n_seen", "features", F.posexplode(F.transform(
+            "gram", lambda row: dot(row, F.col("features")))).alias("i", "gx")))
+    off = whole.join(seen, ["user_idx", "i"]).withColumn("r", F.abs(
+        F.col("gx") + F.col("own") + als.regularization * F.col("n_seen")
+        * F.element_at("features", F.col("i") + 1)))
+    return off.groupBy("user_idx").agg((F.max("r") < 1e-3 * F.max(F.abs("b"))).alias("solved"))
 
 
 @query
 def als_recs(w):
-    return w.als.recommend(w.evaluation.histories, K)
+    """Per user with a vector: places filled, and whether no unseen item outside the list beats
+    its last place. All users against all items, by a join and sums."""
+    recs = snapshot(w.als.recommend(w.evaluation.histories, K), "recs-als")
+    last = recs.groupBy("user_idx").agg(F.count("*").alias("places"), F.min("score").alias("last"))
+    score = F.round(F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b.cast("double")),
+                                F.lit(0.0), lambda acc, v: acc + v), 5)
+    # a check over every pair, for which the item side is dealt out in blocks
+    users = w.als_vectors.select("user_idx", F.col("features").alias("x")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    items = w.als.item_factors.select("item_idx", F.col("features").alias("y")).withColumn(
+        "block", F.pmod("item_idx", F.lit(8)))
+    taken = recs.select("user_idx", "item_idx").unionByName(
+        w.evaluation.histories.select("user_idx", "item_idx")).distinct()
+    rest = (users.join(items, "block").join(taken, ["user_idx", "item_idx"], "left_anti")
+            .groupBy("user_idx").agg(F.max(score).alias("best")))
+    return (last.join(rest, "user_idx", "left")
+            .select("user_idx", "places", (F.coalesce("best", F.lit(-1e9)) <= F.col("last") + 2e-5)
+                    .alias("exact")))
 
 
 @query
@@ -452,19 +555,19 @@ def fuse_rrf(w):
 
 @query
 def union_ceiling(w):
-    return fusion.union_recall_ceiling(w.lists, w.evaluation.truths)
+    return fusion.union_recall_ceiling(w.lists, w.evaluation.truths, w.found)
 
 
 # metrics -----------------------------------------------------------------------------------
 @query
 def metric_hits(w):
     flagged = metrics.hits(fusion.stack(w.all_lists), w.evaluation.truths)
-    return (flagged.filter("hit").select("channel", "user_idx", "rank", "item_idx"))
+    return flagged.select("channel", "user_idx", "rank", "item_idx", "hit")
 
 
 @query
 def metric_values(w):
-    return metrics.evaluate(w.all_lists, w.evaluation.truths, KS, k_max=K)
+    return metrics.evaluate(w.all_lists, w.evaluation.truths, KS, k_max=K, found=w.found)
 
 
 @query
@@ -475,14 +578,13 @@ def coverage(w):
 
 @query
 def history_segments(w):
-    return metrics.evaluate(w.lists, w.evaluation.truths, KS,
+    return metrics.evaluate(w.lists, w.evaluation.truths, KS, found=w.found,
                             segments=metrics.history_segments(w.evaluation.histories))
 
 
 @query
 def recall_differences(w):
-    return bootstrap.recall_differences(w.lists["popularity"], w.fused["weighted_rrf"],
-                                        w.evaluation.truths, K)
+    return bootstrap.differences_of(w.found, w.evaluation.truths, "popularity", "weighted_rrf", K)
 
 
 @query
@@ -494,7 +596,13 @@ def paired_bootstrap(w):
 @query
 def paired_bootstrap_hashed(w):
     return bootstrap.paired_bootstrap(w.lists["popularity"], w.fused["weighted_rrf"],
-                                      w.evaluation.truths, K, samples=200, method="hashed")
+                                      w.evaluation.truths, K, method="hashed")
+
+
+@query
+def paired_bootstrap_exact(w):
+    return bootstrap.interval_of(bootstrap.differences_of(
+        w.found, w.evaluation.truths, "popularity", "weighted_rrf", K), method="exact")
 
 
 @query
@@ -505,7 +613,8 @@ def examples(w):
 # diagnostics -------------------------------------------------------------------------------
 @query
 def catalogue_diag(w):
-    return diagnostics.catalogue_diagnostics(w.interactions, w.early.cutoff, w.early.truths)
+    return diagnostics.catalogue_diagnostics(w.sparse, w.sparse_evaluation.cutoff,
+                                             w.sparse_evaluation.truths)
 
 
 @query
@@ -516,7 +625,8 @@ def reachability(w):
 
 @query
 def reachability_multi(w):
-    return diagnostics.channel_reachability(w.multi_category, w.early.truths, w.early.histories)
+    return diagnostics.channel_reachability(w.multi_category, w.evaluation.truths,
+                                            w.evaluation.histories)
 
 
 # quality -----------------------------------------------------------------------------------
@@ -556,9 +666,39 @@ def window_volume(w):
         w.interactions, {name: s.bounds("valid") for name, s in WINDOWS.items()}, "2000-q1")
 
 
+@query
+def split_summary_gap(w):
+    """A split that ends after the data: its last segment is empty."""
+    return S.split_summary(w.interactions, GAP)
+
+
+@query
+def window_volume_gap(w):
+    return quality.window_volume(w.interactions, {name: GAP.bounds(name)
+                                                  for name in ("valid", "test")}, "valid")
+
+
 @query
 def source_files(w):
-    return source_inventory(warehouse.table(w.spark, w.folder, "lineitem"))
+    return source_inventory(w.spark, [f"{w.folder}/{name}.parquet"
+                                      for name in ("lineitem", "orders", "part")])
+
+
+@query
+def source_digest(w):
+    return inventory_digest(source_files(w))
+
+
+@query
+def reviews_from_json(w):
+    paths = category_paths(w.spark, w.raw_json, warehouse.CATEGORY_NAMES["p_type"])
+    return ingest.clean_reviews(read_reviews(w.spark, paths), time_range=(0, ingest.TIMESTAMP_MS_MAX))
+
+
+@query
+def metadata_from_json(w):
+    paths = category_paths(w.spark, w.raw_json, ["Parts"], prefix="meta_")
+    return ingest.clean_metadata(read_metadata(w.spark, paths))
 
 
 # whole runs --------------------------------------------------------------------------------
@@ -581,11 +721,17 @@ def rolling_windows(w):
 def evaluation_run(w):
     run = runs.evaluation_run(
         w.interactions, "test", SPLIT, k=K, eval_ks=KS, items=w.items,
-        channels=("popularity", "covisitation", "category_popularity", "content"),
-        weights=(1.0, 1.0, 0.25, 0.25))
+        channels=("popularity", "covisitation", "category_popularity", "als", "content"),
+        weights=(1.0, 1.0, 0.25, 0.5, 0.25))
     return run.results
 
 
+@query
+def rolling_evaluation(w):
+    return runs.rolling_runs(w.interactions, WINDOWS, segment="valid", k=K, eval_ks=KS,
+                             channels=("popularity", "covisitation"))
+
+
 @query
 def quality_report(w):
     return runs.quality_report(w.interactions, SPLIT)

@@ -25,19 +25,38 @@ from gleaner.operators.splits import (
     split_summary,
 )
 from gleaner.session import snapshot
-from gleaner.sources import save_results
+from gleaner.sources import inventory_digest, save_results, source_inventory
 
+
+@dataclass(frozen=True)
+class ChannelSettings:
+    """A channel's class and parameters. `deep` names the parameter that grows with k."""
+
+    model: type
+    options: Mapping[str, object]
+    deep: str | None = None
+
+    def build(self, k: int, items: DataFrame | None = None):
+        own = dict(self.options)
+        if self.deep:
+            own[self.deep] = max(POOL_FLOOR, POOL_DEPTH * k)
+        if "items" in {f.name for f in fields(self.model)}:
+            own["items"] = items
+        return self.model(**own)
+
+
+# Pools hold four times the list length, and 2,000 at least.
+POOL_DEPTH, POOL_FLOOR = 4, 2_000
 # Channel settings of a full evaluation.
-CHANNELS: Mapping[str, Callable] = {
-    "popularity": lambda k, items: Popularity(window_days=90, pool_size=max(2_000, 4 * k)),
-    "category_popularity": lambda k, items: CategoryPopularity(
-        window_days=90, per_category=max(2_000, 4 * k)),
-    "covisitation": lambda k, items: CoVisitation(
-        window_days=365, max_items_per_user=20, top_n_neighbours=50, min_cooccurrence=3),
-    "als": lambda k, items: ImplicitALS(
-        factors=32, iterations=10, min_user_interactions=10, min_item_interactions=5),
-    "content": lambda k, items: Content(items, per_store=200, per_category=400, cold_slots=50),
-}
+CHANNELS: Mapping[str, ChannelSettings] = {
+    settings.model.name: settings for settings in (
+        ChannelSettings(Popularity, {"window_days": 90}, "pool_size"),
+        ChannelSettings(CategoryPopularity, {"window_days": 90}, "per_category"),
+        ChannelSettings(CoVisitation, {"window_days": 365, "max_items_per_user": 20,
+                                       "top_n_neighbours": 50, "min_cooccurrence": 3}),
+        ChannelSettings(ImplicitALS, {"factors": 32, "iterations": 10, "min_user_interactions": 10,
+                                      "min_item_interactions": 5}),
+        ChannelSettings(Content, {"per_store": 200, "per_category": 400, "cold_slots": 50}))}
 DEFAULT_CHANNELS = ("popularity", "covisitation", "als")
 
 
@@ -85,8 +104,13 @@ def evaluation_run(interactions: DataFrame, segment: str = "valid",
                    seed: int = 42, channels: Sequence[str] = DEFAULT_CHANNELS,
                    items: DataFrame | None = None, weights: Sequence[float] | None = None,
                    rank_constant: float = 60.0, bootstrap_samples: int = 1_000,
-                   n_examples: int = 0, settings: Mapping[str, Callable] = CHANNELS) -> Run:
-    """Evaluation set, channels, both fusions, intervals, segments and diagnostics."""
+                   n_examples: int = 0, settings: Mapping[str, ChannelSettings] = CHANNELS,
+                   keep: Callable[[str, DataFrame], None] | None = None) -> Run:
+    """Evaluation set, channels, both fusions, intervals, segments and diagnostics.
+
+    Every list is joined to the truths once; all reports start from the hits. `keep` is
+    called with each section of the results as soon as it is known.
+    """
     if k < 1 or not eval_ks or any(not 1 <= x <= k for x in eval_ks):
         raise ValueError("eval_ks must lie between 1 and k")
     if n_examples < 0 or bootstrap_samples < 0:
@@ -117,13 +141,37 @@ def evaluation_run(interactions: DataFrame, segment: str = "valid",
     parameters = {"segment": segment, "split": split.describe(), "k": str(k), "seed": str(seed),
                   "max_users": str(max_users), "weights": str(weights),
                   "rank_constant": str(rank_constant)}
-    sections = [_long("sample", eval_profile(evaluation)),
-                _long("sample", sample_fingerprint(evaluation.users)),
-                _long("catalogue", diagnostics.catalogue_diagnostics(interactions, cutoff, truths))]
+    sections: list[DataFrame] = []
+
+    def report(label: str, *tables: DataFrame) -> None:
+        section = snapshot(reduce(DataFrame.unionByName, tables), "results")
+        sections.append(section)
+        if keep:
+            keep(label, section)
+
+    report("sample", _long("sample", eval_profile(evaluation)),
+           _long("sample", sample_fingerprint(evaluation.users)),
+           _long("catalogue", diagnostics.catalogue_diagnostics(interactions, cutoff, truths)))
     recs: dict[str, DataFrame] = {}
+    found: dict[str, DataFrame] = {}
+    n_items = diagnostics.catalogue_size(interactions, cutoff)
+    segments = snapshot(metrics.history_segments(histories), "history-segments")
+
+    def score(name: str) -> None:
+        """Hits of one list, and its metrics over all users and by history length."""
+        one = {name: recs[name]}
+        found[name] = snapshot(metrics.found_by(one, truths), f"found-{name}")
+        scores = metrics.evaluate(one, truths, eval_ks, n_items, k, found=found[name])
+        by_length = metrics.evaluate(one, truths, eval_ks, k_max=k, segments=segments, found=found[name])
+        timed(f"{name}_metrics", lambda: report(
+            f"metrics:{name}",
+            scores.select(F.lit("results").alias("section"), F.col("channel").alias("name"), "metric", "value"),
+            by_length.select(F.concat(F.lit("history:"), "segment").alias("section"),
+                             F.col("channel").alias("name"), "metric", "value")))
+
     graph = None
     for name in channels:
-        model = settings[name](k, items)
+        model = settings[name].build(k, items)
         parameters[name] = ", ".join(
             f"{f.name}={getattr(model, f.name)}" for f in fields(model)
             if isinstance(getattr(model, f.name), int | float | str | None))
@@ -131,44 +179,41 @@ def evaluation_run(interactions: DataFrame, segment: str = "valid",
         recs[name] = timed(f"{name}_recommend", lambda m=model, n=name: snapshot(
             m.recommend(histories, k, evaluation.users), f"recs-{n}"))
         if hasattr(model, "stats"):
-            sections.append(_long(f"stats:{name}", model.stats()))
+            report(f"stats:{name}", _long(f"stats:{name}", model.stats()))
+        score(name)
         if name == "covisitation":
             graph = model.graph
     reach = diagnostics.channel_reachability(interactions, truths, histories, graph)
     if "skipped" in reach.columns:
         parameters["reachability"] = "skipped: the interactions have no category_idx"
     else:
-        sections.append(_long("reachability", reach))
+        report("reachability", _long("reachability", reach))
     if len(channels) > 1:
         lists = dict(recs)
-        sections.append(_long("union", fusion.union_recall_ceiling(lists, truths)))
         recs["round_robin"] = timed("round_robin", lambda: snapshot(
             fusion.round_robin(lists, k), "recs-round-robin"))
         recs["weighted_rrf"] = timed("weighted_rrf", lambda: snapshot(
             fusion.weighted_rrf(lists, k, weights, rank_constant), "recs-rrf"))
+        for fused in ("round_robin", "weighted_rrf"):
+            score(fused)
+        every = reduce(DataFrame.unionByName, found.values())
+        report("union", _long("union", fusion.union_recall_ceiling(lists, truths, every)))
         if "popularity" in recs and bootstrap_samples:
-            for fused in ("round_robin", "weighted_rrf"):
-                for at in eval_ks:
-                    sections.append(_long(f"bootstrap:{fused}@{at}", bootstrap.paired_bootstrap(
-                        recs["popularity"], recs[fused], truths, at, bootstrap_samples, seed)))
-    scores = metrics.evaluate(recs, truths, eval_ks,
-                              diagnostics.catalogue_size(interactions, cutoff), k)
-    by_length = metrics.evaluate(recs, truths, eval_ks, k_max=k,
-                                 segments=metrics.history_segments(histories))
-    sections += [
-        scores.select(F.lit("results").alias("section"), F.col("channel").alias("name"),
-                      "metric", "value"),
-        by_length.select(F.concat(F.lit("history:"), "segment").alias("section"),
-                         F.col("channel").alias("name"), "metric", "value")]
+            report("bootstrap", *[
+                _long(f"bootstrap:{fused}@{at}", bootstrap.interval_of(bootstrap.differences_of(
+                    every, truths, "popularity", fused, at), bootstrap_samples, seed))
+                for fused in ("round_robin", "weighted_rrf") for at in eval_ks])
     shown = metrics.examples(evaluation, recs, n_examples) if n_examples else None
-    results = timed("metrics", lambda: snapshot(reduce(DataFrame.unionByName, sections), "results"))
-    return Run(evaluation, recs, results, timings, parameters, shown)
+    return Run(evaluation, recs, reduce(DataFrame.unionByName, sections), timings, parameters, shown)
 
 
-def recorded_run(interactions: DataFrame, path: str, run_id: str, **options) -> Run:
+def recorded_run(interactions: DataFrame, path: str, run_id: str,
+                 sources: Sequence[str] = (), **options) -> Run:
     """`evaluation_run` with a stored record under `path`; an existing run is refused.
 
-    A status row is appended at start and end, also when the run fails.
+    Each section of the results is stored when it is known, so a failure in the last channel
+    loses nothing of the others. `sources` are listed with one digest of the whole list. A
+    status row is appended at start and end, also when the run fails.
     """
     spark = interactions.sparkSession
 
@@ -178,24 +223,30 @@ def recorded_run(interactions: DataFrame, path: str, run_id: str, **options) ->
             F.lit(text).alias("note"), F.current_timestamp().alias("at"),
         ).write.mode("append").parquet(f"{path}/status")
 
-    options_text = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(str(value)).alias("value"))
-                             for name, value in {**options, "run_id": run_id}.items()
-                             if not isinstance(value, DataFrame)])
+    def pairs(entries: Mapping[str, object]) -> DataFrame:
+        return spark.range(1).select(F.inline(F.array(*[
+            F.struct(F.lit(str(name)).alias("name"), F.lit(str(value)).alias("value"))
+            for name, value in entries.items()])))
+
+    def keep(label: str, section: DataFrame) -> None:
+        section.write.mode("append").parquet(f"{path}/results/run_id={run_id}")
+
     # written first: fails if the run exists
-    save_results(spark.range(1).select(F.inline(options_text)), f"{path}/options", run_id)
+    save_results(pairs({name: value for name, value in {**options, "run_id": run_id}.items()
+                        if not isinstance(value, DataFrame)}), f"{path}/options", run_id)
     note("running")
     try:
-        run = evaluation_run(interactions, **options)
-        save_results(run.results, f"{path}/results", run_id)
-        small = {"parameters": run.parameters, "timings": run.timings}
-        for name, entries in small.items():
-            rows = F.array(*[F.struct(F.lit(key).alias("name"), F.lit(str(value)).alias("value"))
-                             for key, value in entries.items()])
-            save_results(spark.range(1).select(F.inline(rows)), f"{path}/{name}", run_id)
+        if sources:
+            listed = snapshot(source_inventory(spark, sources), "inventory")
+            save_results(listed, f"{path}/sources", run_id)
+            save_results(inventory_digest(listed), f"{path}/sources_digest", run_id)
+        run = evaluation_run(interactions, keep=keep, **options)
+        save_results(pairs(run.parameters), f"{path}/parameters", run_id)
+        save_results(pairs(run.timings), f"{path}/timings", run_id)
         if run.examples is not None:
             save_results(run.examples, f"{path}/examples", run_id)
     except Exception as error:
-        note("failed", f"{type(error).__name__}: {error}"[:2000])
+        note("failed", f"{type(error).__name__}: {error}")
         raise
     note("completed")
     return run

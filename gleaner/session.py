@@ -1,7 +1,6 @@
 """Session settings and the shared folder for intermediate tables."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,21 +43,11 @@ def build_session(app: str = "gleaner", master: str | None = None,
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, named by `spark.checkpoint.dir`.
-
-    Only a local session may go without it; there the driver is also the only executor.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    if not context.master.startswith("local"):
+    """Folder every executor can reach, named by `spark.checkpoint.dir` or the checkpoint folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-"))
-    return context.getCheckpointDir()
+    return folder
 
 
 def snapshot(df: DataFrame, label: str) -> DataFrame:

@@ -9,37 +9,43 @@ from pyspark.sql import functions as F
 from gleaner.sources.schemas import METADATA_SCHEMA, REVIEW_SCHEMA
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return files.exists(location)
-
-
 def category_paths(spark: SparkSession, folder: str, categories: Sequence[str],
                    prefix: str = "") -> list[str]:
-    """One gzip JSON-lines file per category; fails with the missing names."""
+    """One gzip JSON-lines file or folder per category; fails with the names of all missing ones.
+
+    Only names are listed, by a scan that reads no content.
+    """
     names = [f"{prefix}{category}.jsonl.gz" for category in categories]
     if not names:
         raise ValueError("at least one category is needed")
-    missing = [n for n in names if not _path_exists(spark, f"{folder}/{n}")]
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+              .select("path"))
+    wanted = F.explode(F.array(*map(F.lit, names))).alias("name")
+    there = (spark.range(1).select(wanted)
+             .join(listed, F.regexp_like("path", F.concat(F.lit("/"), F.col("name"), F.lit("(/|$)"))), "left_semi"))
+    missing = sorted(set(names) - {r["name"] for r in there.collect()})
     if missing:
-        raise FileNotFoundError(f"{len(missing)} source files are missing: {missing[:5]}")
+        raise FileNotFoundError(f"{len(missing)} source files are missing: {missing}")
     return [f"{folder}/{n}" for n in names]
 
 
 def read_reviews(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Raw reviews with the category taken from the file name. Unreadable lines are skipped.
 
-    A gzip file is one task; the caller writes the cleaned rows to Parquet once and works
-    from there.
+    A gzip file can only be parsed by one task; the parsed rows are dealt out evenly right
+    behind it. The name is that of the file, or of the folder that holds a category's files.
     """
-    return (spark.read.schema(REVIEW_SCHEMA).option("mode", "PERMISSIVE").json(list(paths))
-            .withColumn("category",
-                        F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl\.gz$", "")))
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl\.gz(?:/[^/]*)?$", 1)
+    return _spread(spark.read.schema(REVIEW_SCHEMA).option("mode", "PERMISSIVE").json(list(paths))
+                   .withColumn("category", F.url_decode(name)))
 
 
 def read_metadata(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    return spark.read.schema(METADATA_SCHEMA).option("mode", "PERMISSIVE").json(list(paths))
+    return _spread(spark.read.schema(METADATA_SCHEMA).option("mode", "PERMISSIVE").json(list(paths)))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    return rows.hint("rebalance")
 
 
 def read_interactions(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,13 +58,23 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def source_inventory(table: DataFrame) -> DataFrame:
-    """Files behind a scan with size and modification time, and a digest of each entry."""
-    files = table.select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_size").alias("file_size"),
-        F.col("_metadata.file_modification_time").alias("modified"),
-    ).distinct()
+def source_inventory(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Files under the given paths with size and modification time, and a digest of each entry.
+
+    The files are listed, not read.
+    """
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+             .select(F.col("path").alias("file_path"), F.col("length").alias("file_size"),
+                     F.col("modificationTime").alias("modified")).distinct())
     return files.withColumn("entry_sha256", F.sha2(F.concat_ws(
         "|", "file_path", F.col("file_size").cast("string"),
         F.unix_micros("modified").cast("string")), 256))
+
+
+def inventory_digest(inventory: DataFrame) -> DataFrame:
+    """One row: number of files, bytes, and one digest of all entries in the order of paths."""
+    entries = F.array_sort(F.collect_list(F.struct("file_path", "entry_sha256")))
+    return inventory.agg(
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"),
+        F.sha2(F.array_join(F.transform(entries, lambda e: e["entry_sha256"]), "\n"), 256)
+        .alias("inventory_sha256"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions import year_of
+from gleaner.functions import seconds_of, year_of
 from gleaner.operators.splits import TimeSplit
 
 # Split of the warehouse's order dates, 1995-01-01 to 2001-08-01.
@@ -21,11 +21,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _seconds(ts):
-    """Unix seconds of a zone-less timestamp, read as UTC (the session's zone)."""
-    return F.unix_seconds(ts.cast("timestamp"))
-
-
 def purchases(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order line with its buyer, day and product category."""
     lines = table(spark, folder, "lineitem").select(
@@ -44,7 +39,7 @@ def raw_reviews(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("P"), F.lpad(F.col("l_partkey").cast("string"), 10, "0")).alias("parent_asin"),
         F.when(F.col("l_linenumber") == 7, F.lit(9.0))
         .otherwise(1.0 + F.col("l_linenumber") * 0.5).alias("rating"),
-        (_seconds(F.col("o_orderdate")) * 1000 + F.pmod("l_orderkey", F.lit(1000)))
+        (seconds_of(F.col("o_orderdate")) * 1000 + F.pmod("l_orderkey", F.lit(1000)))
         .alias("timestamp"),
         F.when(F.col("l_linenumber") != 2, F.col("l_quantity") * 1000).cast("bigint")
         .alias("helpful_vote"),
@@ -75,7 +70,7 @@ def interactions(spark: SparkSession, folder: str, category: str = "p_type") ->
     rows = purchases(spark, folder).select(
         F.col("o_custkey").cast("int").alias("user_idx"),
         F.col("l_partkey").cast("int").alias("item_idx"),
-        _seconds(F.col("o_orderdate")).alias("ts"), "l_orderkey", "l_linenumber",
+        seconds_of(F.col("o_orderdate")).alias("ts"), "l_orderkey", "l_linenumber",
         (1 + F.pmod(F.col("l_linenumber") - 1, F.lit(5))).cast("tinyint").alias("rating"),
         F.col("l_quantity").cast("smallint").alias("helpful_vote"),
         (F.col("l_returnflag") != "R").alias("verified_purchase"),
@@ -103,4 +98,4 @@ def event_interactions(spark: SparkSession, folder: str) -> DataFrame:
     return events.select(
         F.col("user_id").cast("int").alias("user_idx"),
         F.get_json_object("props", "$.k").cast("int").alias("item_idx"),
-        _seconds(F.col("ts")).alias("ts"), F.col("event_type").alias("category"))
+        seconds_of(F.col("ts")).alias("ts"), F.col("event_type").alias("category"))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from conftest import ranked
 
-from gleaner.operators.als import ImplicitALS, _merged
+from gleaner.operators.als import ImplicitALS, best_of
 from gleaner.operators.splits import unix
 
 CUT = unix("2023-06-01")
@@ -91,14 +91,25 @@ def test_blocked_search_is_exact(model, histories, per_task):
 
 
 def test_ties_go_to_the_smaller_id():
-    none = (np.empty(0, np.int32), np.empty(0, np.float32))
-    ids = np.array([1, 3, 7, 9], dtype=np.int32)
-    kept = _merged(*none, ids, np.array([0, 2, 2, 2], np.float32), 2)
-    assert kept[0].tolist() == [3, 7]
-    # a later block holds an equal score with a smaller id, and a lower one
-    later = _merged(*kept, np.array([2, 5], np.int32), np.array([2, 1], np.float32), 2)
-    assert later[0].tolist() == [2, 3]
-    assert _merged(*none, ids, np.array([5, 2, 2, 2], np.float32), 9)[0].tolist() == [1, 3, 7, 9]
+    ids = np.array([[9, 3, 7, 1], [9, 3, 7, 1]])
+    scores = np.array([[2.0, 2, 2, 0], [1, 5, 4, 3]])
+    best, values = best_of(ids, scores, 2)
+    assert best.tolist() == [[3, 7], [3, 7]] and values.tolist() == [[2, 2], [5, 4]]
+    # more places than items
+    assert best_of(ids, scores, 9)[0].tolist() == [[3, 7, 9, 1], [3, 7, 1, 9]]
+
+
+def test_lists_do_not_depend_on_parallelism(table, histories, spark):
+    def lists():
+        model = ImplicitALS(factors=4, iterations=3, min_user_interactions=5).fit(table, CUT)
+        return ranked(model.recommend(histories({0: [1, 2], 1: [10, 11]}), 3))
+
+    first = lists()
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert lists() == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_bad_arguments(model, histories):

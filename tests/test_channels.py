@@ -230,3 +230,12 @@ def test_content_pruning_is_exact(spark, interactions, histories, seed, repeats)
         got = ranked(model.recommend(histories(given), k))
         for user, history in given.items():
             assert got.get(user, []) == _brute_content(items, pop, history, k, 25, 30, 6)
+
+
+def test_store_of_repeated_items_only(spark, interactions, histories):
+    """Every item of the store has two price rows; the user's other store item is still found."""
+    items = [(1, None, 1, 10.0), (1, None, 1, 12.0), (2, None, 1, 10.0), (2, None, 1, 12.0)]
+    model = Content(spark.createDataFrame(items, ITEM_SCHEMA)).fit(
+        interactions([(9, 1, "2023-05-01"), (9, 2, "2023-05-01")]), CUT)
+    got = model.recommend(histories({0: [1]}), 5).collect()
+    assert {r["item_idx"] for r in got} == {2} and len(got) == 2

@@ -105,7 +105,7 @@ def test_history_segments(histories):
 def test_bootstrap_known_delta_and_repeatability(lists, histories):
     base, better = lists({0: [0], 1: [0]}), lists({0: [1], 1: [2]})
     truths = histories({0: [1], 1: [2]})
-    for method in ("grouped", "hashed"):
+    for method in ("poisson", "exact", "hashed"):
         one = bootstrap.paired_bootstrap(base, better, truths, 1, 30, method=method).first()
         assert (one["delta"], one["ci95_low"], one["ci95_high"]) == (1.0, 1.0, 1.0)
         again = bootstrap.paired_bootstrap(base, better, truths, 1, 30, method=method).first()
@@ -128,7 +128,7 @@ def test_bootstrap_interval_is_near_exact_resampling(lists, histories):
     draw = np.random.default_rng(0)
     means = [draw.choice(diff, len(diff)).mean() for _ in range(2000)]
     want = np.quantile(means, [0.025, 0.975])
-    for method in ("grouped", "hashed"):
+    for method in ("poisson", "exact", "hashed"):
         got = bootstrap.paired_bootstrap(lists(base), lists(cand), histories(truth), 1, 1000,
                                          method=method).first()
         assert got["delta"] == pytest.approx(diff.mean())

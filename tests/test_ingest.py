@@ -8,6 +8,7 @@ from gleaner.operators.sampling import sample_stats, sample_users
 from gleaner.plans.runs import quality_run
 from gleaner.sources import (
     category_paths,
+    inventory_digest,
     read_interactions,
     read_metadata,
     read_reviews,
@@ -56,8 +57,11 @@ def test_json_to_interactions(spark, raw, tmp_path):
     stats = ingest.ingest_stats(reviews, stored).first()
     assert (stats["raw_rows"], stats["kept_rows"], stats["n_users"], stats["n_items"]) == (3, 2, 2, 2)
     assert (stats["first_date"], stats["last_date"]) == ("2023-01-01", "2023-01-02")
-    files = source_inventory(stored).collect()
+    listed = source_inventory(spark, [str(tmp_path / "interactions")])
+    files = listed.collect()
     assert files and all(f["file_size"] > 0 and len(f["entry_sha256"]) == 64 for f in files)
+    whole = inventory_digest(listed).first()
+    assert whole["files"] == len(files) and whole == inventory_digest(listed.repartition(3)).first()
 
 
 def test_rounding_caps_and_missing_votes(spark):
@@ -97,8 +101,9 @@ def test_dense_ids_are_complete_and_sorted(spark):
 
 
 def test_missing_files_are_named(spark, tmp_path):
-    with pytest.raises(FileNotFoundError, match="Nothing.jsonl.gz"):
-        category_paths(spark, str(tmp_path), ["Nothing"])
+    names = [f"Nothing{n}" for n in range(7)]
+    with pytest.raises(FileNotFoundError, match=r"7 source files.*Nothing0.jsonl.gz.*Nothing6.jsonl.gz"):
+        category_paths(spark, str(tmp_path), names)
 
 
 def test_items(spark, tmp_path):

@@ -80,7 +80,7 @@ def test_baseline(interactions):
     out = runs.baseline_run(interactions(rows), ks=(1, 2))
     got = {r["metric"]: r["value"] for r in out["metrics"].collect()}
     assert got["recall@1"] == 1 and got["coverage"] == pytest.approx(1 / 3)
-    assert out["split_summary"].count() == 2 and DEFAULT_SPLIT.valid_end == unix("2023-06-01")
+    assert out["split_summary"].count() == 3 and DEFAULT_SPLIT.stops[1] == unix("2023-06-01")
 
 
 def test_segments_are_scored_apart(lists, histories):
