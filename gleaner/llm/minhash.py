@@ -27,6 +27,7 @@ BANDS = K // ROWS
 SHINGLE = 5
 UNITS = 400_000                  # element units signed together
 BLOCK = 2_048                    # documents of one bucket compared in one task
+BLOCK_CHARS = 16 << 20           # and characters of their texts
 _WORD = re.compile(r"\w+")
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB,
                                0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -105,7 +106,7 @@ def similarity(a, b) -> float:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, print (of the word sequence, null without words), bands and signature."""
+    """doc_id, print (of the word sequence, null without words), bands, signature, n_chars."""
     known: dict[str, int] = {}
 
     def sign(batch):
@@ -132,11 +133,13 @@ def signed(docs: DataFrame) -> DataFrame:
                 share, size = [], 0
         return {"doc_id": batch["doc_id"], "print": prints,
                 "bands": [made[m][0] if m else None for m in prints],
-                "signature": [made[m][1] if m else None for m in prints]}
+                "signature": [made[m][1] if m else None for m in prints],
+                "n_chars": [len(t or "") for t in batch["text"]]}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_columns(docs.select("doc_id", "text"),
-                       f"doc_id {kind}, print binary, bands array<bigint>, signature binary", sign)
+                       f"doc_id {kind}, print binary, bands array<bigint>, signature binary,"
+                       " n_chars bigint", sign)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float, label: str) -> DataFrame:
@@ -163,32 +166,50 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float, label: str) -> D
     return snapshot(map_columns(both, f"a {kind}, b {kind}", judge), label)
 
 
-def _between(batch, least: float, every: bool):
-    """Pairs of different components in one block of a bucket that may be similar.
+def _between(batch, least: float, slack: float) -> dict[str, list]:
+    """Links between different components in one block of a bucket.
 
-    All such pairs, each in the first band that they share, or each document's best one.
+    Pairs whose signatures agree in `least - slack` of the coordinates are compared exactly,
+    the most alike first, each in the first band that it shares, unless links found before
+    have joined their components.
     """
     sig = np.frombuffer(b"".join(batch["signature"]), dtype=np.uint32).reshape(-1, K)
-    ids, comp, side = np.array(batch["rep"]), np.array(batch["comp"]), np.array(batch["side"])
-    band = batch["band"][0]
-    out = {"a": [], "b": []}
+    ids, comp, side = np.array(batch["rep"]), batch["comp"], np.array(batch["side"])
+    known: dict[str, int] = {}
+    sets: dict[int, tuple] = {}
+    above = {c: c for c in comp}
+
+    def root(c):
+        while above[c] != c:
+            above[c] = above[above[c]]
+            c = above[c]
+        return c
+
+    def held(n):
+        if n not in sets:
+            sets[n] = elements(words_of(batch["text"][n]), known)
+        return sets[n]
+
+    home = np.unique(comp, return_inverse=True)[1]
+    pairs = []
     for n in range(len(ids)):
-        fit = (comp != comp[n]) & ((side != side[n]) if batch["i"][0] != batch["j"][0] else True)
-        if every:
-            fit &= ids > ids[n] if batch["i"][0] == batch["j"][0] else side > side[n]
+        fit = home != home[n]
+        fit &= ids > ids[n] if batch["i"][0] == batch["j"][0] else side > side[n]
         at = np.flatnonzero(fit)
-        if not len(at):
-            continue
-        same = sig[at] == sig[n]
-        share = same.mean(axis=1)
-        keep = share >= least
-        if every:
-            keep &= same.reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-            found = at[keep]
-        else:
-            found = at[[np.argmax(share)]] if keep.any() else at[:0]
-        out["a"] += np.maximum(ids[found], ids[n]).tolist()
-        out["b"] += np.minimum(ids[found], ids[n]).tolist()
+        if len(at):
+            same = sig[at] == sig[n]
+            share = same.mean(axis=1)
+            keep = np.flatnonzero(share >= least - slack)
+            first = same[keep].reshape(len(keep), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            keep = keep[first == batch["band"][0]]
+            pairs += zip((-share[keep]).tolist(), [n] * len(keep), at[keep].tolist())
+    out: dict[str, list] = {"a": [], "b": []}
+    for _, n, m in sorted(pairs):
+        x, y = root(comp[n]), root(comp[m])
+        if x != y and similarity(held(n), held(m)) >= least:
+            above[max(x, y)] = min(x, y)
+            out["a"].append(int(max(ids[n], ids[m])))
+            out["b"].append(int(min(ids[n], ids[m])))
     return out
 
 
@@ -205,46 +226,43 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, slack: float = 0.12) ->
     1. Equal word sequences become one representative, combined before the shuffle.
     2. Representatives that share one of 32 bands meet in a bucket. Each is compared with the
        bucket's smallest member by exact similarity, so a bucket of n gives n - 1 pairs.
-    3. Buckets that hold several components are cut into blocks, and pairs between different
-       components whose signatures agree in `least - slack` of the coordinates (3.4 standard
-       deviations) are compared exactly: first each document's best one, then all that remain.
-       A pair inside one component is never formed.
+    3. Buckets that hold several components are cut into blocks of bounded number and text.
+       In them, pairs between different components whose signatures agree in `least - slack`
+       of the coordinates (3.4 standard deviations) are compared exactly. A pair inside one
+       component is never formed, and only links leave the task.
 
     A pair at the threshold shares no band with probability (1 - 0.8^4)^32 < 1e-7.
     """
     marks = snapshot(signed(docs.filter("doc_id IS NOT NULL")), "minhash-signed")
     reps = snapshot(marks.filter("print IS NOT NULL").groupBy("print").agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands"),
-        F.first("signature").alias("signature")), "minhash-reps")
-    bands = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    heads = (bands.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("size"))
-             .filter("size > 1"))
-    shared = snapshot(bands.join(heads, "bucket"), "minhash-buckets")
+        F.first("signature").alias("signature"), F.max("n_chars").alias("n_chars")), "minhash-reps")
+    bands = reps.select("rep", "n_chars", F.posexplode("bands").alias("band", "bucket"))
+    heads = (bands.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("size"),
+                                         F.sum("n_chars").alias("chars")).filter("size > 1"))
+    shared = snapshot(bands.drop("n_chars").join(heads, "bucket"), "minhash-buckets")
     asked = shared.select(F.col("rep").alias("doc_id")).distinct()
     texts = snapshot(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), "minhash-texts")
     links = _verified(shared.filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
                       .distinct(), texts, least, "minhash-links")
+    comp = components(links, "minhash-classes").select(F.col("node").alias("rep"), F.col("root").alias("comp"))
+    placed = (shared.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")))
+    several = (placed.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
+               .filter("_lo < _hi").select("bucket"))
+    parts = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
+    blocks = (placed.join(several, "bucket").join(reps.select("rep", "signature"), "rep")
+              .join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+              .withColumn("side", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+              .select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"),
+                      "rep", "comp", "band", "side", "signature", "text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    more = snapshot(map_groups(blocks, ["bucket", "i", "j"], f"a {kind}, b {kind}",
+                               partial(_between, least=least, slack=slack)), "minhash-links")
     # copies of one doc_id in different texts are one document
     twice = (marks.filter("print IS NOT NULL").join(reps.select("print", "rep"), "print")
              .filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    for every in (False, True):
-        comp = components(links, "minhash-classes")
-        placed = shared.join(comp.select(F.col("node").alias("rep"), F.col("root").alias("comp")), "rep", "left")
-        placed = placed.withColumn("comp", F.coalesce("comp", "rep"))
-        mixed_ = (placed.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
-                  .filter("_lo < _hi").select("bucket"))
-        parts = F.ceil(F.col("size") / BLOCK).cast("int")
-        side = F.pmod(F.xxhash64("rep"), parts).cast("int")
-        blocks = (placed.join(mixed_, "bucket").join(reps.select("rep", "signature"), "rep")
-                  .withColumn("side", side)
-                  .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-                  .select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"),
-                          "rep", "comp", "band", "side", "signature"))
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        pairs = map_groups(blocks, ["bucket", "i", "j"], f"a {kind}, b {kind}",
-                           partial(_between, least=least - slack, every=every)).distinct()
-        links = snapshot(links.unionByName(_verified(pairs, texts, least, "minhash-links")), "minhash-links")
-    comp = components(links.unionByName(twice), "minhash-classes")
+    comp = components(links.unionByName(more).unionByName(twice), "minhash-classes")
     return (docs.select("doc_id").join(comp, F.col("doc_id") == F.col("node"), "left")
             .select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True))))
