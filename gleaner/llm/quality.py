@@ -152,7 +152,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000,
                      F.col("doc_id") == F.col("_id"))
     rows = snapshot(some.select("doc_id", F.col("_label").cast("double").alias("label"),
                                 text_view(some).alias("text"), metadata_view(some).alias("meta")),
-                    "quality-sample")
+                    "quality-sample").coalesce(4)        # bounded rows; fitting runs many short jobs
     true = rows.filter("label IS NOT NULL")
     fold = calibration_fold("doc_id")
     train, aside = true.filter(~fold), true.filter(fold)
