@@ -87,7 +87,7 @@ class CoVisitation:
         """
         if self.graph is None:
             raise RuntimeError("fit() has not been called")
-        weights = item_weights(histories)
+        weights = snapshot(item_weights(histories), "covisitation-weights")
         reached = (weights.join(self.graph, weights["item_idx"] == self.graph["src"])
                    .groupBy("user_idx", F.col("dst").alias("item_idx"))
                    .agg(F.sum(F.col("m") * F.col("score")).alias("score"))

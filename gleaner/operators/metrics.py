@@ -133,8 +133,7 @@ def examples(evaluation, channels: Mapping[str, DataFrame], n: int) -> DataFrame
     """
     if n < 0:
         raise ValueError("the number of examples must not be negative")
-    # n users, the report's own size
-    chosen = F.broadcast(evaluation.users.select("user_idx").orderBy("user_idx").limit(n))
+    chosen = evaluation.users.select("user_idx").orderBy("user_idx").limit(n)
     history = group_positions(evaluation.histories.join(chosen, "user_idx", "left_semi"),
                               ["user_idx"], ["ts", "item_idx"], "pos", label="examples-history")
     truth = group_positions(evaluation.truths.join(chosen, "user_idx", "left_semi"),

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from gleaner.functions import int_array
 from gleaner.operators.splits import before
 
+# the pool is a constant of the plan; about a megabyte at most
+LARGEST_POOL = 100_000
+
 
 @dataclass
 class Popularity:
@@ -24,6 +27,8 @@ class Popularity:
                 .orderBy(F.desc("n"), "item_idx").limit(self.pool_size))
 
     def fit(self, interactions: DataFrame, cutoff: int) -> Popularity:
+        if not 0 < self.pool_size <= LARGEST_POOL:
+            raise ValueError(f"pool_size must lie between 1 and {LARGEST_POOL}")
         # at most pool_size ids
         self.pool = [row["item_idx"] for row in self.ranked(interactions, cutoff).collect()]
         return self
@@ -40,7 +45,7 @@ class Popularity:
         table = (histories.sparkSession.range(1)
                  .select(F.explode(int_array(self.pool)).alias("_pool_item")))
         seen = (histories.select("user_idx", "item_idx")
-                .join(F.broadcast(table), F.col("item_idx") == F.col("_pool_item"), "left")
+                .join(table, F.col("item_idx") == F.col("_pool_item"), "left")
                 .groupBy("user_idx").agg(F.collect_set("_pool_item").alias("_seen")))
         if users is not None:
             seen = users.select("user_idx").join(seen, "user_idx", "left")
