@@ -2,8 +2,8 @@
 
 Patterns propose candidates in every text. The value of each candidate is hashed, and for
 each hash the distinct repositories and distinct owners that hold it are counted over the
-whole corpus. A value that many owners share is a copied example; a value of one owner that
-looks random is reported as live.
+whole corpus. A value that many owners and many repositories share, or a great many
+repositories alone, is a copied example; any other value that looks random is live.
 """
 from __future__ import annotations
 
@@ -54,14 +54,20 @@ def entropy(value: str) -> float:
 
 
 def secret_spans(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
-                 most_owners: int = 1, least_entropy: float = 2.5) -> DataFrame:
-    """doc_id and `found`, an array of (kind, start, end, base, owners, repositories, live).
+                 many_owners: int = 3, many_repositories: int = 3, any_repositories: int = 100,
+                 least_entropy: float = 2.5) -> DataFrame:
+    """doc_id, `found` and `aside`, arrays of (kind, start, stop, base, owners, repositories, live).
 
     `owners` and `repositories` count the distinct values of the two columns over all
-    documents with the same secret value; null counts as one value. A span is live if at most
-    `most_owners` owners hold its value and the value has `least_entropy` bits a character.
+    documents with the same secret value; null counts as one value. A value is shared, a
+    copied example, if at least `many_owners` owners and `many_repositories` repositories hold
+    it, or if `any_repositories` repositories do, whoever owns them: a key that leaked once
+    stays live when its document is copied to a second owner, or often within one owner, and a
+    placeholder all over one owner is shared. A span is live if its value is not shared and has
+    `least_entropy` bits a character.
     Spans of issued-key forms (kind key) are found besides the base ones; they are part of
-    `found` only where live. Base spans stay whatever their frequency.
+    `found` where live and of `aside` otherwise, so none is lost. Base spans are always in
+    `found`.
 
     Null and empty texts have no spans. Repeated rows are answered each; they add nothing to
     the distinct counts. An empty table gives no row. Only the named columns are read.
@@ -90,22 +96,32 @@ def secret_spans(docs: DataFrame, owner: str = "source", repository: str = "doc_
     holders = (each.select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
                .join(each.select("hash", "repository").distinct().groupBy("hash")
                      .agg(F.count("*").alias("repositories")), "hash"))
-    live = (F.col("owners") <= most_owners) & (F.col("random") >= least_entropy)
+    shared = (((F.col("owners") >= many_owners) & (F.col("repositories") >= many_repositories))
+              | (F.col("repositories") >= any_repositories))
+    live = ~shared & (F.col("random") >= least_entropy)
+    span = F.struct("kind", "start", "stop", "base", "owners", "repositories", "live")
     judged = (each.join(snapshot(holders, "secret-holders"), "hash")
               .withColumn("live", live).withColumn("base", F.col("kind") != "key")
-              .filter("base OR live")
-              .groupBy("_row").agg(F.collect_list(F.struct(
-                  "kind", "start", "stop", "base", "owners", "repositories", "live")).alias("found")))
+              .groupBy("_row").agg(*[F.collect_list(F.when(F.expr(part), span)).alias(name) for name, part in
+                                     (("found", "base OR live"), ("aside", "NOT (base OR live)"))]))
     return rows.select("_row", "doc_id").join(judged, "_row", "left").select(
-        "doc_id", F.coalesce("found", F.array().cast(judged.schema["found"].dataType)).alias("found"))
+        "doc_id", *[F.coalesce(c, F.array().cast(judged.schema[c].dataType)).alias(c)
+                    for c in ("found", "aside")])
 
 
 def secret_digest(found: DataFrame) -> DataFrame:
-    """Counts, digests and joined spans of `secret_spans`, by start and then kind as listed."""
+    """Counts, digests and joined spans of `secret_spans`, by start and then kind as listed.
+
+    `spans`, `n_live` and `n_shared` (not live) are of `found`; `aside` are the issued keys that
+    are not live.
+    """
+    place = lambda s: (s["start"], KINDS.index(s["kind"]))
+
     def write(batch):
-        out = {c: [] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_shared")}
-        for spans in batch["found"]:
-            spans = sorted(spans, key=lambda s: (s["start"], KINDS.index(s["kind"])))
+        out = {c: [] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_shared",
+                               "aside")}
+        for spans, aside in zip(batch["found"], batch["aside"]):
+            spans = sorted(spans, key=place)
             every = [(s["kind"], s["start"], s["stop"]) for s in spans]
             base = [x for x, s in zip(every, spans) if s["base"]]
             for k in KINDS[:3]:
@@ -114,8 +130,9 @@ def secret_digest(found: DataFrame) -> DataFrame:
             out["spans"].append(joined(every))
             out["n_live"].append(sum(s["live"] for s in spans))
             out["n_shared"].append(sum(not s["live"] for s in spans))
+            out["aside"].append(joined((s["kind"], s["start"], s["stop"]) for s in sorted(aside, key=place)))
         return {"doc_id": batch["doc_id"], **out}
 
     kind = found.schema["doc_id"].dataType.simpleString()
     return map_columns(found, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint,"
-                       " base_sha256 string, spans string, n_live bigint, n_shared bigint", write)
+                       " base_sha256 string, spans string, n_live bigint, n_shared bigint, aside string", write)

@@ -50,6 +50,24 @@ def test_ownership_parts_examples_from_live_ones(spark):
     assert added == {0: 0, 1: 0, 2: 0, 9: 1}
 
 
+def test_verdict_takes_owners_and_repositories(spark):
+    key, example, once = ("ghp_" + x * 5 for x in ("aB3dE5gH", "xY7wV9uT", "kL2mN4pQ"))
+    rows = [(1, f"x {key}", "a"), (2, f"x {key}", "b")]                     # a key and a copy elsewhere
+    rows += [(10 + n, f"x {example}", "hot") for n in range(120)]           # an example all over one source
+    rows += [(200 + n, f"x {once}", "hot") for n in range(4)]               # a key repeated by its owner
+    rows += [(300 + n, "x ghp_" + "cD6fG8hJ" * 5, f"s{n}") for n in range(4)]
+    got = {r["doc_id"]: r for r in ownership.secret_spans(documents(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    for d, r in got.items():
+        live = d < 10 or 200 <= d < 300
+        assert (len(r["found"]), len(r["aside"])) == ((1, 0) if live else (0, 1))
+        assert all(s["live"] == live for s in r["found"] + r["aside"])
+    assert got[1]["found"][0]["owners"] == got[1]["found"][0]["repositories"] == 2
+    told = {r["doc_id"]: (r["spans"], r["aside"]) for r in ownership.secret_digest(
+        ownership.secret_spans(documents(spark, rows))).collect()}
+    assert told[1] == ("key:2:46", "") and told[10] == told[300] == ("", "key:2:46")
+
+
 def personal(text):
     out = []
     for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
