@@ -4,12 +4,14 @@ The index is distributed by documents: each row holds the posting lists of one d
 term by term with ascending positions, for the terms of the test set. A phrase is sought
 from its rarest term over the whole corpus: that term's list, less its offset in the phrase,
 is intersected with the offset-adjusted lists of the next rarest terms until it is empty or
-all terms agree.
+all terms agree. For proximity a phrase is entered under as many of its rarest terms as can be
+missing, and one more, so every window that is near enough holds one of them.
 """
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,33 +101,65 @@ def index(docs: DataFrame, terms: dict[bytes, int], anchors: set[int], reach: in
 
 
 class Phrase:
-    """Terms with their offsets, rarest first, and the items it stands for."""
+    """Terms with their offsets, rarest first, and the items it stands for.
 
-    def __init__(self, terms: list[int], counts: list[int], items: list[str]):
+    `spare` of the terms may be missing in a near match; `leads` are the terms one of which it
+    must hold.
+    """
+
+    def __init__(self, terms: list[int], counts: list[int], items: list[str], near_share: float):
         self.order = sorted(((t, at) for at, t in enumerate(terms)), key=lambda x: (counts[x[0]], *x))
         self.size, self.items = len(terms), items
+        self.terms = [t for t, _ in self.order]
+        self.spare = self.size - max(1, ceil(near_share * self.size))
+        self.leads = list(dict.fromkeys(self.terms[:self.spare + 1]))
+
+    def absent(self, lists: dict[int, list[int]]) -> int:
+        """How many terms the document lacks, counted as far as a near match allows and one on."""
+        n = 0
+        for term in self.terms:
+            if term not in lists:
+                n += 1
+                if n > self.spare:
+                    break
+        return n
 
     def exact(self, lists: dict[int, list[int]]) -> set[int]:
         """Starts of all occurrences."""
         (first, at), *rest = self.order
-        starts = {p - at for p in lists[first]}
+        starts = {p - at for p in lists.get(first, ())}
         for term, at in rest:
             if not starts:
                 break
             starts &= {p - at for p in lists.get(term, ())}
         return starts
 
-    def near(self, lists: dict[int, list[int]], slack: int, share: float) -> bool:
-        """Whether `share` of the terms lie within `slack` words of their place."""
-        (first, at), *rest = self.order
-        for p in lists[first]:
-            close = 1
-            for term, off in rest:
-                own = lists.get(term, ())
-                i = bisect_left(own, p - at + off - slack)
-                close += i < len(own) and own[i] <= p - at + off + slack
-            if close >= share * self.size:
-                return True
+    def near(self, lists: dict[int, list[int]], slack: int) -> bool:
+        """Whether from some start all but `spare` terms lie within `slack` words of their place."""
+        spare = self.spare
+        held = [(lists[term], off) for term, off in self.order if term in lists]
+
+        def fits(start: int, slack: int) -> bool:
+            missing = self.size - len(held)
+            for own, off in held:
+                i = bisect_left(own, start + off - slack)
+                if i == len(own) or own[i] > start + off + slack:
+                    missing += 1
+                    if missing > spare:
+                        return False
+            return missing <= spare
+
+        # at most `spare` terms miss their place, so one of the first spare + 1 held ones does not;
+        # starts that it allows differ by `slack` from its own, which are tried with twice the slack
+        seen = set()
+        for own, off in held[:spare + 1]:
+            for p in own:
+                if fits(p - off, 2 * slack):
+                    for start in range(p - off - slack, p - off + slack + 1):
+                        if start not in seen:
+                            seen.add(start)
+                            if fits(start, slack):
+                                return True
         return False
 
 
@@ -135,8 +169,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, slack: int
 
     Exact: `items` are those with a window (see `phrases`) that occurs in the document, `spans`
     the merged [start, end) word intervals of all occurrences. `digest` is xxhash64 of the text.
-    Proximity: `near_items` are further items with a window of which `near_share` of the words
-    occur within `slack` words of their place, the window's rarest word among them.
+    Proximity: `near_items` are further items with a window of which, from some start in the
+    document, `near_share` of the words occur within `slack` words of their place. Any words
+    may be the missing ones.
 
     Null and empty texts have no words and no hits. Repeated rows appear as often as they
     are given. Without items, or without documents, nothing is hit. Other columns are not read.
@@ -154,12 +189,13 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, slack: int
                 for r in part.orderBy("phrase").toLocalIterator()]
         terms = {w: n for n, w in enumerate(dict.fromkeys(w for ws, _ in held for w in ws))}
         counts = term_counts(docs, terms) if terms else []
-        by_rarest: dict[int, list[Phrase]] = {}
+        by_lead: dict[int, list[Phrase]] = {}
         for words, names in held:
-            p = Phrase([terms[w] for w in words], counts, names)
-            by_rarest.setdefault(p.order[0][0], []).append(p)
-        stored = snapshot(index(docs, terms, set(by_rarest), size - 1 + slack), "test-index")
-        sent = share(docs.sparkSession, by_rarest)
+            p = Phrase([terms[w] for w in words], counts, names, near_share)
+            for term in p.leads:
+                by_lead.setdefault(term, []).append(p)
+        stored = snapshot(index(docs, terms, set(by_lead), size - 1 + 2 * slack), "test-index")
+        sent = share(docs.sparkSession, by_lead)
 
         def match(batch):
             known = sent()
@@ -170,10 +206,14 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, slack: int
                 spans, exact, near = set(), set(), set()
                 for term in lists:
                     for phrase in known.get(term, ()):
-                        starts = phrase.exact(lists)
+                        absent = phrase.absent(lists)
+                        # a phrase is tried under its rarest lead in the document only
+                        if absent > phrase.spare or next(t for t in phrase.leads if t in lists) != term:
+                            continue
+                        starts = set() if absent else phrase.exact(lists)
                         spans.update((s, s + phrase.size) for s in starts)
                         (exact if starts else near).update(
-                            phrase.items if starts or phrase.near(lists, slack, near_share) else ())
+                            phrase.items if starts or phrase.near(lists, slack) else ())
                 out["spans"].append(merged(spans))
                 out["items"].append(sorted(exact))
                 out["near_items"].append(sorted(near - exact))

@@ -36,6 +36,12 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         (F.size("items") > 0).alias("contaminated"))
 
 
+def op2_proximity(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items of which every document holds an altered window only."""
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", F.size("near_items").cast("bigint").alias("n_near"), "near_items")
+
+
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every document, live or widely copied."""
     return secret_digest(secret_spans(table(spark, folder, "documents")))
@@ -89,9 +95,10 @@ def op10_vector_duplicates(spark: SparkSession, folder: str) -> DataFrame:
         "vec_id", "n_links", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_secret_scan,
-                                  op4_near_duplicates, op5_personal_data, op6_chat_format,
-                                  op7_mixing, op8_quality, op9_toxicity, op10_vector_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op2_proximity,
+                                  op3_secret_scan, op4_near_duplicates, op5_personal_data,
+                                  op6_chat_format, op7_mixing, op8_quality, op9_toxicity,
+                                  op10_vector_duplicates)}
 QUERIES["pipeline"] = corpus_pipeline.run
 EXPECTED = {"op2_decontamination": sql.OP2, "op6_chat_format": sql.OP6, "op7_mixing": sql.OP7,
             "op10_vector_duplicates": sql.OP10}
