@@ -35,6 +35,7 @@ class MarkedTurns:
     each backslash gives back what was there.
     """
 
+    by_turn = True
     end = "</turn>\n"
 
     @staticmethod
@@ -84,6 +85,14 @@ def located(template, turns: Sequence[Turn], before: Turn | None = None):
     return output, spans, sorted(set(rewrites))
 
 
+def by_turn(template) -> bool:
+    """Whether the template's own class declares `by_turn`: each turn is rendered by itself, so
+    the output of a conversation is that of its turns in a row. A class that inherits from such
+    a one may render otherwise and must declare it anew.
+    """
+    return bool(vars(type(template)).get("by_turn", False))
+
+
 def formatted(conversations: DataFrame, template=None, piece: int = PIECE) -> DataFrame:
     """conv_id, piece, output, spans, rewrites for every piece of every conversation.
 
@@ -93,10 +102,12 @@ def formatted(conversations: DataFrame, template=None, piece: int = PIECE) -> Da
     not read; an empty table gives no row.
 
     `spans` holds (role, turn_start, turn_stop, text_start, text_stop) in characters of the
-    output. A conversation of more than `piece` turns is rendered in pieces, which follow each
-    other; each piece is also rendered behind the turn before it, and a template for which
-    that makes a difference is reported in `rewrites` of that piece. So a conversation of any
-    length is spread over tasks, and the cost of prefixes stays linear in its length.
+    output. A template that declares `by_turn` renders a conversation of more than `piece` turns
+    in pieces, which follow each other; each piece is also rendered behind the turn before it,
+    and if that makes a difference it is reported in `rewrites` of that piece. So a conversation
+    of any length is spread over tasks, and the cost of prefixes stays linear in its length.
+    Any other template may look at all turns: it renders each conversation as one piece in one
+    task, at a cost that grows with the square of its turns.
     """
     template = template or MarkedTurns()
     clean = conversations.filter("conv_id IS NOT NULL").select(
@@ -104,8 +115,9 @@ def formatted(conversations: DataFrame, template=None, piece: int = PIECE) -> Da
         F.coalesce("text", F.lit("")).alias("text"))
     placed = group_positions(clean, ["conv_id"], ["turn", "role", "text"], "position", "chat")
     # the last turn of a piece is also handed to the next piece, as what stands before it
-    part = F.floor(F.col("position") / piece)
-    last = F.col("position") % piece == piece - 1
+    cut = by_turn(template)
+    part = F.floor(F.col("position") / piece) if cut else F.lit(0).cast("bigint")
+    last = F.col("position") % piece == piece - 1 if cut else F.lit(False)
     handed = placed.select("*", F.explode(F.when(last, F.array(part, part + 1)).otherwise(F.array(part)))
                            .alias("piece")).withColumn("own", F.col("piece") == part)
 

@@ -3,6 +3,9 @@ import hashlib
 from odd import LONG
 
 from gleaner.llm.chat import MarkedTurns, formatted, located, read_back
+from gleaner.llm.common import by_value
+
+by_value(__name__)       # the templates below go to the workers
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string, piece string, position string, output string"
 
@@ -51,3 +54,36 @@ def test_read_back_equals_the_rows(spark):
             assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and r["loss_chars"] == len(loss)
             assert r["formatted_chars"] == len(MarkedTurns().render([x[2:] for x in own]))
     assert read_back(formatted(table(spark, []))).count() == 0
+
+
+class SystemFirst(MarkedTurns):
+    """Moves system turns to the front and repeats the first one at the end."""
+
+    def render(self, turns):
+        system = [t for t in turns if t[0] == "system"]
+        return "<s>" + super().render([*system, *[t for t in turns if t[0] != "system"], *system[:1]])
+
+
+class Windowed(MarkedTurns):
+    """Keeps the last seven turns."""
+
+    def render(self, turns):
+        return super().render(turns[-7:])
+
+
+def test_templates_that_see_all_turns_are_rendered_whole(spark):
+    rows = [(1, n, "system" if n in (3, 17) else "user", f"t{n}") for n in range(23)]
+    rows += [(2, n, "user", f"u{n}") for n in range(12)]
+    for template in (SystemFirst(), Windowed(), Rewriting()):
+        got = {}
+        for r in formatted(table(spark, rows), template, piece=5).orderBy("conv_id", "piece").collect():
+            output, spans, rewrites = got.setdefault(r["conv_id"], ([], [], []))
+            output.append(r["output"])
+            spans += [tuple(s)[1:] for s in r["spans"]]
+            rewrites += r["rewrites"]
+        for conv in (1, 2):
+            want = located(template, [x[2:] for x in rows if x[0] == conv])
+            output, spans, rewrites = got[conv]
+            assert ("".join(output), spans, rewrites) == want
+            assert "".join(output) == template.render([x[2:] for x in rows if x[0] == conv])
+    assert got[1][2]
