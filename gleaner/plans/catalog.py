@@ -728,8 +728,10 @@ def evaluation_run(w):
 
 @query
 def rolling_evaluation(w):
-    return runs.rolling_runs(w.interactions, WINDOWS, segment="valid", k=K, eval_ks=KS,
-                             channels=("popularity", "covisitation"))
+    return runs.rolling_runs(
+        w.interactions, WINDOWS, segment="valid", k=K, eval_ks=KS, items=w.items,
+        channels=("popularity", "covisitation", "category_popularity", "als", "content"),
+        weights=(1.0, 1.0, 0.25, 0.5, 0.25))
 
 
 @query

@@ -74,6 +74,22 @@ def test_rolling_windows_label_their_results(interactions):
     assert {r["window"] for r in got.select("window").distinct().collect()} == set(windows)
 
 
+def test_rolling_evaluation_runs_all_channels(monkeypatch):
+    from types import SimpleNamespace
+
+    from gleaner.plans import catalog
+
+    asked = {}
+    monkeypatch.setattr(runs, "rolling_runs", lambda table, windows, **options: asked.update(rolling=options))
+    monkeypatch.setattr(runs, "evaluation_run", lambda table, segment, split, **options: (
+        asked.update(once=options), SimpleNamespace(results=None))[1])
+    w = SimpleNamespace(interactions="table", items="items")
+    catalog.rolling_evaluation(w)
+    catalog.evaluation_run(w)
+    assert asked["rolling"] == {**asked["once"], "segment": "valid"}
+    assert len(asked["rolling"]["channels"]) == 5
+
+
 def test_baseline(interactions):
     rows = [(u, i, "2023-05-20") for u in range(4) for i in (1, 2)]
     rows += [(9, 3, "2023-05-20")] + [(u, 3, "2023-07-01") for u in range(4)]
