@@ -18,6 +18,7 @@ from gleaner.llm.quality import fit_quality
 from gleaner.llm.ownership import secret_digest, secret_spans
 from gleaner.llm.tokens import token_counts
 from gleaner.llm.toxicity import fit_toxicity
+from gleaner.llm.wordbpe import decoded, encoded, encoding_digest
 
 
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,10 +96,16 @@ def op10_vector_duplicates(spark: SparkSession, folder: str) -> DataFrame:
         "vec_id", "n_links", "component_id", "kept")
 
 
+def op12_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document under the 49k word vocabulary, and their decoding."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return encoding_digest(decoded(encoded(table(spark, folder, "documents"), path), path))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op2_proximity,
                                   op3_secret_scan, op4_near_duplicates, op5_personal_data,
                                   op6_chat_format, op7_mixing, op8_quality, op9_toxicity,
-                                  op10_vector_duplicates)}
+                                  op10_vector_duplicates, op12_bpe_codec)}
 QUERIES["pipeline"] = corpus_pipeline.run
 EXPECTED = {"op2_decontamination": sql.OP2, "op6_chat_format": sql.OP6, "op7_mixing": sql.OP7,
             "op10_vector_duplicates": sql.OP10}
