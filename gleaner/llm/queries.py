@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gleaner.llm import sql
+from gleaner.llm.aligned import alignments
 from gleaner.llm.chat import formatted, read_back
 from gleaner.llm.common import table
 from gleaner.llm.decontam import contamination, hit_words
@@ -102,10 +103,17 @@ def op12_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return encoding_digest(decoded(encoded(table(spark, folder, "documents"), path), path))
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links between the tokens of two vocabularies in every document."""
+    return alignments(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                      public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op2_proximity,
                                   op3_secret_scan, op4_near_duplicates, op5_personal_data,
                                   op6_chat_format, op7_mixing, op8_quality, op9_toxicity,
-                                  op10_vector_duplicates, op12_bpe_codec)}
+                                  op10_vector_duplicates, op12_bpe_codec,
+                                  op13_token_alignment)}
 QUERIES["pipeline"] = corpus_pipeline.run
 EXPECTED = {"op2_decontamination": sql.OP2, "op6_chat_format": sql.OP6, "op7_mixing": sql.OP7,
             "op10_vector_duplicates": sql.OP10}
