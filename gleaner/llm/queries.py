@@ -12,6 +12,7 @@ from gleaner.llm.chat import formatted, read_back
 from gleaner.llm.common import table
 from gleaner.llm.decontam import contamination, hit_words
 from gleaner.llm.flatgraph import near_vectors
+from gleaner.llm.hardneg import hard_negatives
 from gleaner.llm.minhash import near_duplicates
 from gleaner.llm.mixing import mixture
 from gleaner.llm.pii import personal_data, personal_digest
@@ -97,6 +98,13 @@ def op10_vector_duplicates(spark: SparkSession, folder: str) -> DataFrame:
         "vec_id", "n_links", "component_id", "kept")
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives for every hundredth embedding; every seventh has another label."""
+    vectors = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op12_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document under the 49k word vocabulary, and their decoding."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -112,8 +120,8 @@ def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op2_proximity,
                                   op3_secret_scan, op4_near_duplicates, op5_personal_data,
                                   op6_chat_format, op7_mixing, op8_quality, op9_toxicity,
-                                  op10_vector_duplicates, op12_bpe_codec,
+                                  op10_vector_duplicates, op11_hard_negatives, op12_bpe_codec,
                                   op13_token_alignment)}
 QUERIES["pipeline"] = corpus_pipeline.run
 EXPECTED = {"op2_decontamination": sql.OP2, "op6_chat_format": sql.OP6, "op7_mixing": sql.OP7,
-            "op10_vector_duplicates": sql.OP10}
+            "op10_vector_duplicates": sql.OP10, "op11_hard_negatives": sql.OP11}
