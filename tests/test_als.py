@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from conftest import ranked
 
-from gleaner.operators.als import ImplicitALS, best_of
+from gleaner.operators.als import ImplicitALS
+from gleaner.operators.products import best_of, best_products, search
 from gleaner.operators.splits import unix
 
 CUT = unix("2023-06-01")
@@ -21,7 +22,7 @@ def table(spark):
 @pytest.fixture(scope="module")
 def model(table):
     return ImplicitALS(factors=4, iterations=5, min_user_interactions=5, blocks=2,
-                       user_block_size=2, item_block_size=3).fit(table, CUT)
+                       shelf_items=6, step_items=3).fit(table, CUT)
 
 
 def _factors(df):
@@ -70,10 +71,10 @@ def test_folding_in_a_trained_user_gives_its_vector(model, table):
         np.testing.assert_allclose(got[user], trained[user], rtol=1e-3, atol=1e-4)
 
 
-@pytest.mark.parametrize("per_task", [1, 3])
-def test_blocked_search_is_exact(model, histories, per_task):
-    """Blocks of 3 items and 2 users give the same lists as one dense product."""
-    model.blocks_per_task = per_task
+@pytest.mark.parametrize("shelf", [6, 1000])
+def test_shelved_search_is_exact(model, histories, shelf, monkeypatch):
+    """Shelves of 6 items in steps of 3 give the same lists as one dense product."""
+    monkeypatch.setattr(model, "shelf_items", shelf)
     y = _factors(model.item_factors)
     ids = np.array(sorted(y))
     dense = np.stack([y[i] for i in ids]).astype(np.float32)
@@ -115,3 +116,75 @@ def test_lists_do_not_depend_on_parallelism(table, histories, spark):
 def test_bad_arguments(model, histories):
     with pytest.raises(ValueError):
         model.recommend(histories({0: [1]}), 0)
+
+
+def _by_length(rng, n, factors, spread):
+    """Items whose lengths fall off, as those of seldom bought items do."""
+    y = rng.normal(size=(n, factors)) * (np.arange(1, n + 1) ** -spread)[:, None]
+    return y[np.argsort(-np.linalg.norm(y, axis=1))].astype(np.float32)
+
+
+def _dense(ids, y, x, wanted):
+    scores = np.round((x @ y.T).astype(np.float64), 5)
+    return [[(int(ids[n]), s[n]) for n in np.lexsort((ids, -s))[:w]] for s, w in zip(scores, wanted)]
+
+
+@pytest.mark.parametrize("step", [7, 64, 5000])
+def test_search_equals_the_dense_product(step):
+    rng = np.random.default_rng(step)
+    y, ids = _by_length(rng, 900, 8, 0.5), rng.permutation(900).astype(np.int32)
+    y[100:140] = y[100]                                  # ties go to the smaller id
+    x = rng.normal(size=(50, 8)).astype(np.float32)
+    wanted = rng.integers(1, 40, 50)
+    wanted[7] = 850                                      # one that has seen nearly everything
+    row, found, score, _ = search(ids, y, x, wanted, np.full(50, -np.inf), step, 1 << 16)
+    got = [[(int(i), s) for r, i, s in zip(row, found, score) if r == n] for n in range(50)]
+    want = _dense(ids, y, x, wanted)
+    assert [[i for i, _ in g] for g in got] == [[i for i, _ in w] for w in want]
+    # a threshold leaves what reaches it
+    least = np.array([w[len(w) // 2][1] for w in want])
+    row, found, score, _ = search(ids, y, x, wanted, least, step, 1 << 16)
+    for n in range(50):
+        assert [int(i) for r, i in zip(row, found) if r == n] == [i for i, s in want[n] if s >= least[n]]
+
+
+def test_far_items_are_never_multiplied():
+    rng = np.random.default_rng(2)
+    y = _by_length(rng, 40_000, 16, 0.8)
+    x = rng.normal(size=(64, 16)).astype(np.float32)
+    *_, formed = search(np.arange(len(y), dtype=np.int32), y, x, np.full(64, 20), np.full(64, -np.inf), 512, 1 << 24)
+    assert formed < 0.1 * 64 * len(y)
+    # nor does one user with a long history cost the others more
+    wanted = np.full(64, 20)
+    wanted[0] = 20_000
+    *_, more = search(np.arange(len(y), dtype=np.int32), y, x, wanted, np.full(64, -np.inf), 512, 1 << 24)
+    assert more <= formed + len(y)
+
+
+def _tables(spark, y, x, wanted):
+    items = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(y)], "id int, features array<float>")
+    users = spark.createDataFrame([(n, v.tolist(), int(w)) for n, (v, w) in enumerate(zip(x, wanted))],
+                                  "user_idx int, features array<float>, wanted int")
+    return items, users
+
+
+def test_users_are_sent_to_shelves_in_reach_only(spark):
+    rng = np.random.default_rng(3)
+    y = _by_length(rng, 600, 8, 1.0)
+    x = rng.normal(size=(40, 8)).astype(np.float32)
+    items, users = _tables(spark, y, x, [5] * 39 + [590])
+    found = best_products(items, users, 8, 50, 10, 1 << 20).collect()
+    want = _dense(np.arange(600), y, x, [5] * 39 + [590])
+    by_user = {}
+    for r in found:
+        by_user.setdefault(r["user_idx"], []).append((-r["score"], r["item_idx"]))
+    for n, w in enumerate(want):
+        assert [i for _, i in sorted(by_user[n])[:len(w)]] == [i for i, _ in w]
+    # the first of 12 shelves, and little more, for all but the last user
+    assert sum(len(v) for n, v in by_user.items() if n < 39) < 39 * 5 * 2
+
+
+def test_no_items_or_users(spark):
+    items, users = _tables(spark, np.ones((3, 4)), np.ones((2, 4)), [2, 2])
+    assert best_products(items.limit(0), users, 4, 2, 2, 1 << 20).count() == 0
+    assert best_products(items, users.limit(0), 4, 2, 2, 1 << 20).count() == 0
