@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import top_k
@@ -16,6 +16,11 @@ STORE_SIGNAL = 2.0       # an item of a store the user bought from
 CATEGORY_DAMPING = 3.0   # category signal w / (w + 3)
 PRICE_BONUS = 0.5        # price within the tolerance of the user's median
 
+# Grades of the stores' counts: popularity by half octaves, the last one open, price by eighths.
+# Finer ones leave fewer entries above a floor; any grades give the same lists.
+LEVELS, LEVELS_AN_OCTAVE, PRICES_AN_OCTAVE = 40, 2, 8
+_EDGE = 1e-9             # a price this near to a bound of the band is not counted
+
 
 @dataclass
 class Content:
@@ -29,6 +34,7 @@ class Content:
     catalogue: DataFrame | None = None
     stores: DataFrame | None = None
     stores_shelf: DataFrame | None = None
+    stores_depth: DataFrame | None = None
     categories: DataFrame | None = None
 
     def with_popularity(self, interactions: DataFrame, cutoff: int) -> DataFrame:
@@ -57,16 +63,43 @@ class Content:
     def _shelf(self) -> DataFrame:
         """One row per store: its pool as an array of at most per_store + cold_slots entries.
 
-        `sure` marks items with one metadata row; `level` grades popularity in steps of 1/32
-        octave, about 2%.
+        `sure` marks items with one metadata row; `level` grades popularity.
         """
         rows = self.catalogue.groupBy("item_idx").agg(F.count(F.lit(1)).alias("rows"))
-        level = F.floor(32 * F.log2(F.col("pop") + F.lit(1.0))).cast("int")
-        entry = F.struct("item_idx", "price", "pop", level.alias("level"),
+        level = F.floor(LEVELS_AN_OCTAVE * F.log2(F.col("pop") + F.lit(1.0)))
+        entry = F.struct("item_idx", "price", "pop", F.least(level, F.lit(LEVELS - 1)).cast("int").alias("level"),
                          (F.col("rows") == 1).alias("sure"))
         return (self.stores.join(rows, "item_idx")
                 .groupBy("store_idx").agg(F.collect_list(entry).alias("entries")))
 
+    def _depth(self) -> DataFrame:
+        """(store, first, width, listed, grid): how many sure entries a store has, summed up.
+
+        `listed` holds for each level the number of entries of that level or higher. `grid` holds,
+        level by level, the same by price: the number of those up to each of `width` price
+        grades, the lowest being `first`. So the number in any price band from any level on is
+        the difference of two places.
+        """
+        cells = F.transform(F.filter("entries", lambda e: e["sure"]), lambda e: F.struct(
+            e["level"].alias("level"), F.when(e["price"] > 0, _grade(e["price"])).alias("grade")))
+        priced = F.transform(F.filter("cells", lambda c: c["grade"].isNotNull()), lambda c: c["grade"])
+        top, width = F.array_max(F.transform("cells", lambda c: c["level"])), F.col("width")
+
+        def number(test):
+            return F.size(F.filter("cells", test))
+
+        def up_to(at):
+            return number(lambda c: (c["level"] >= F.floor(at / width)) & (c["grade"] - F.col("first") <= at % width))
+
+        levels = F.sequence(F.lit(0), F.col("top"))
+        return (self.stores_shelf.select("store_idx", cells.alias("cells")).filter(F.size("cells") > 0)
+                .select("store_idx", "cells", top.alias("top"), F.array_min(priced).alias("first"),
+                        (F.array_max(priced) - F.array_min(priced) + 1).alias("width"))
+                .select("store_idx", "first", "width",
+                        F.transform(levels, lambda n: number(lambda c: c["level"] >= n)).alias("listed"),
+                        F.when(width.isNotNull(), F.transform(
+                            F.sequence(F.lit(0), (F.col("top") + 1) * width - 1), up_to)).alias("grid")))
+
     def category_pool(self, catalogue: DataFrame) -> DataFrame:
         listed = (catalogue.filter(F.col("main_category_idx").isNotNull())
                   .select("main_category_idx", "item_idx", "price", "pop"))
@@ -78,6 +111,7 @@ class Content:
         self.catalogue = snapshot(self.with_popularity(interactions, cutoff), "content-items")
         self.stores = snapshot(self.store_pool(self.catalogue), "content-stores")
         self.stores_shelf = snapshot(self._shelf(), "content-shelves")
+        self.stores_depth = snapshot(self._depth(), "content-depths")
         self.categories = snapshot(self.category_pool(self.catalogue), "content-categories")
         return self
 
@@ -105,32 +139,55 @@ class Content:
         return counts.groupBy("user_idx").agg(F.percentile("price", 0.5, F.col("m")).alias("med_price"))
 
     def _needs(self, own: DataFrame, k: int) -> DataFrame:
-        """(user, floor, full): how much of the user's store pools can matter.
+        """(user, floor, wide_floor, full): how much of the user's store pools can matter.
 
         If h of the items in the user's stores are in the history, k unseen ones are among any
-        k + h different items. `floor` is the highest level at which the pools hold that many
-        in the price band: the best k are then in the band and of that level or higher.
-        `full` says that the pools hold that many at all: a category candidate scores under
-        1.5 and a store item 2 or more, so none is needed. Items with several metadata rows
-        are not counted, as they may be the same item; a user whose stores list nothing else has
-        no row here, and all of those stores' entries are candidates. Counting goes by (user, level), a short
-        table.
+        k + h different items. `floor` is a level at which the pools hold that many in the
+        price band: the best k are then in the band and of that level or higher. `wide_floor` is a
+        level at which they hold that many at any price: the best k are then in the band, or of that
+        level or higher. `full` says that the pools hold that many at all: a category candidate
+        scores under 1.5 and a store item 2 or more, so none is needed. Items with several
+        metadata rows are not counted, as they may be the same item.
+
+        The counts are read off the stores' sums, a row for each (user, store) and two places for
+        each level; no shelf is opened. Price grades that are only partly in the band are not counted,
+        so a floor may be lower than it could be, never higher.
         """
+        med, tol = F.col("med_price"), self.price_tolerance
+        low = F.ceil(_octaves(med * (1 - tol) * (1 + _EDGE))).cast("int") if tol < 1 else F.col("first")
+        high = (F.floor(_octaves(med * (1 + tol) * (1 - _EDGE))) - 1).cast("int")
+        width = F.col("width")
+
+        def below(level: int, at: Column) -> Column:
+            place = F.least(at - F.col("first"), width - 1)
+            return F.when(place >= 0, F.get("grid", F.lit(level) * width + place)).otherwise(0)
+
+        zero = F.lit(0)
+        counted = own.join(self.stores_depth, "store_idx", "left").withColumns({"low": low, "high": high}).select(
+            "user_idx", "h",
+            *(F.coalesce(F.get("listed", F.lit(n)), zero).alias(f"any{n}") for n in range(LEVELS)),
+            *(F.coalesce(F.when((med > 0) & (F.col("high") >= F.col("low")),
+                                below(n, F.col("high")) - below(n, F.col("low") - 1)), zero).alias(f"near{n}")
+              for n in range(LEVELS)))
+        totals = counted.groupBy("user_idx").agg(F.sum("h").alias("h"), *(
+            F.sum(f"{kind}{n}").alias(f"{kind}{n}") for kind in ("any", "near") for n in range(LEVELS)))
         enough = F.lit(k) + F.col("h")
-        downwards = (Window.partitionBy("user_idx").orderBy(F.desc("level"))
-                     .rowsBetween(Window.unboundedPreceding, 0))
-        levels = (own.join(self.stores_shelf, "store_idx")
-                  .select("user_idx", "med_price", F.inline("entries")).filter("sure")
-                  .groupBy("user_idx", "level")
-                  .agg(F.count_if(self._near(F.col("price"))).alias("near"),
-                       F.count(F.lit(1)).alias("n")))
-        held = own.groupBy("user_idx").agg(F.sum("h").alias("h"))
-        return (levels.withColumn("near", F.sum("near").over(downwards))
-                .join(held, "user_idx")
-                .groupBy("user_idx", "h")
-                .agg(F.max(F.when(F.col("near") >= enough, F.col("level"))).alias("floor"),
-                     F.sum("n").alias("n"))
-                .select("user_idx", "floor", (F.col("n") >= enough).alias("full")))
+
+        def highest(kind: str) -> Column:
+            return F.greatest(*(F.when(F.col(f"{kind}{n}") >= enough, n) for n in range(LEVELS)))
+
+        return totals.select("user_idx", highest("near").alias("floor"), highest("any").alias("wide_floor"),
+                             (F.col("any0") >= enough).alias("full"))
+
+    def opened(self, own: DataFrame, needs: DataFrame) -> DataFrame:
+        """Store entries that can be among a user's best k, the one place where shelves are opened."""
+        def wanted(entry: Column) -> Column:
+            near = F.coalesce(self._near(entry["price"]), F.lit(False))
+            return F.when(F.col("floor").isNotNull(), (entry["level"] >= F.col("floor")) & near).otherwise(
+                F.col("wide_floor").isNull() | (entry["level"] >= F.col("wide_floor")) | near)
+
+        return (own.join(needs, "user_idx", "left").join(self.stores_shelf, "store_idx")
+                .select("user_idx", "med_price", F.inline(F.filter("entries", wanted))))
 
     def _near(self, price: Column) -> Column:
         return (F.abs(price - F.col("med_price"))
@@ -153,13 +210,7 @@ class Content:
                        .join(medians, "user_idx", "left"), "content-user-stores")
         needs = snapshot(self._needs(own, k), "content-needs")
 
-        wanted = F.col("floor").isNull() | (
-            (F.col("level") >= F.col("floor")) & self._near(F.col("price")))
-        by_store = (own.join(needs, "user_idx", "left")
-                    .join(self.stores_shelf, "store_idx")
-                    .select("user_idx", "med_price", "floor", F.inline("entries"))
-                    .filter(wanted)
-                    .withColumn("signal", F.lit(STORE_SIGNAL)))
+        by_store = self.opened(own, needs).withColumn("signal", F.lit(STORE_SIGNAL))
         served = needs.filter("full").select("user_idx")
         by_category = (profile.filter(F.col("main_category_idx").isNotNull())
                        .groupBy("user_idx", "main_category_idx").agg(F.sum("m").alias("w"))
@@ -178,3 +229,11 @@ class Content:
             order.append(F.asc("price"))
         return (top_k(drop_seen(best, weights), ["user_idx"], order, k)
                 .select("user_idx", "rank", "item_idx", "score", "pop"))
+
+
+def _octaves(price: Column) -> Column:
+    return F.lit(PRICES_AN_OCTAVE) * F.log2(price)
+
+
+def _grade(price: Column) -> Column:
+    return F.floor(_octaves(price)).cast("int")

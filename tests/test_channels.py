@@ -2,7 +2,9 @@ import random
 
 import pytest
 from conftest import ranked
+from pyspark.sql import functions as F
 
+from gleaner.operators.candidates import item_weights
 from gleaner.operators.category import CategoryPopularity
 from gleaner.operators.content import Content
 from gleaner.operators.covisitation import CoVisitation
@@ -239,3 +241,31 @@ def test_store_of_repeated_items_only(spark, interactions, histories):
         interactions([(9, 1, "2023-05-01"), (9, 2, "2023-05-01")]), CUT)
     got = model.recommend(histories({0: [1]}), 5).collect()
     assert {r["item_idx"] for r in got} == {2} and len(got) == 2
+
+
+def test_content_opens_few_entries(spark, interactions, histories):
+    """A user of many large stores: rows come to a few times k, not to stores x pool."""
+    rng = random.Random(6)
+    items = [(n, 0, n % 40, round(10 * 2 ** rng.uniform(-2, 2), 2)) for n in range(8000)]
+    sold = [(u, i, "2023-05-01") for i in range(8000) for u in range(max(1, int(2000 / (i // 40 + 1) ** 1.2)))]
+    model = Content(spark.createDataFrame(items, ITEM_SCHEMA)).fit(interactions(sold), CUT)
+    given = {0: list(range(0, 40)), 1: list(range(40, 60))}
+    k = 200
+    weights = item_weights(histories(given))
+    profile = model.profile(weights)
+    own = (profile.groupBy("user_idx", "store_idx").agg(F.sum("items").alias("h"))
+           .join(model.median_prices(profile), "user_idx", "left"))
+    opened = {r["user_idx"]: r["count"] for r in
+              model.opened(own, model._needs(own, k)).groupBy("user_idx").count().collect()}
+    assert k <= opened[0] <= 3 * k and k <= opened[1] <= 3 * k
+    assert all(len(v) == k for v in ranked(model.recommend(histories(given), k)).values())
+
+
+def test_content_counts_without_opening_shelves(spark, interactions, histories):
+    model = Content(spark.createDataFrame([(1, 1, 1, 20.0), (2, 1, 1, 21.0)], ITEM_SCHEMA)).fit(
+        interactions([(9, 1, "2023-05-01")]), CUT)
+    own = spark.createDataFrame([(0, 1, 1, 20.0)], "user_idx int, store_idx int, h int, med_price double")
+    text = model._needs(own, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in text and "entries" not in text
+    assert tuple(model._needs(own, 1).first()) == (0, 0, 0, True)
+    assert tuple(model._needs(own, 2).first()) == (0, None, None, False)
