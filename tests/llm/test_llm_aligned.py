@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from gleaner.llm import aligned
 from gleaner.llm.aligned import Aligned, ByteLevel, Pair, Pieces, alignments
-from gleaner.llm.pretokens import byte_signs
+from gleaner.llm.pretokens import UNSETTLED, byte_signs
 from gleaner.llm.queries import op13_token_alignment
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -112,6 +112,16 @@ def test_a_group_without_shared_ends_is_not_written_out():
     assert entries == [(0, 1000), (1, 1), (2, 1_000_000), (3, 1000)]
 
 
+def test_each_settled_sign_is_encoded_as_in_the_library():
+    library = Tokenizer.from_file(A)
+    library.encode_special_tokens = True
+    signs = [chr(c) for c in range(0x110000) if not 0xd800 <= c < 0xe000 and not UNSETTLED.search(chr(c))]
+    texts = [f"a{c}{c}1{c}-{c} {c}  {c}" for c in signs]
+    texts += texts_of(3, 500, signs[:2000]) + texts_of(4, 500, [*"etaoin shrdlu  ETAOIN.,'s"]) + ["\ue000 private", " "]
+    side = ByteLevel.of_file(A)
+    assert side.encode(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_odd_documents(spark):
     rows = odd_rows()
     got = sorted((str(r["doc_id"]), *(r[c] for c in COLUMNS)) for r in
