@@ -20,6 +20,7 @@ class CoVisitation:
     min_cooccurrence: int = 2
     name = "covisitation"
     graph: DataFrame | None = None
+    lists: DataFrame | None = None
 
     def baskets(self, interactions: DataFrame, cutoff: int) -> DataFrame:
         """(user, items): every user's latest items, at most max_items_per_user of them.
@@ -72,8 +73,18 @@ class CoVisitation:
     def fit(self, interactions: DataFrame, cutoff: int) -> CoVisitation:
         baskets = snapshot(self.baskets(interactions, cutoff), "covis-baskets")
         self.graph = snapshot(self.neighbours(baskets), "covis-graph")
+        self.lists = snapshot(self.listed(self.graph), "covis-lists")
         return self
 
+    @staticmethod
+    def listed(graph: DataFrame) -> DataFrame:
+        """One row per source: its neighbours in falling order of score, then by item, as one array
+        of at most top_n_neighbours entries."""
+        entry = F.struct((-F.col("score")).alias("below"), F.col("dst").alias("item_idx"))
+        return graph.groupBy("src").agg(F.transform(
+            F.sort_array(F.collect_list(entry)),
+            lambda e: F.struct(e["item_idx"].alias("item_idx"), (-e["below"]).alias("score"))).alias("near"))
+
     def stats(self) -> DataFrame:
         if self.graph is None:
             raise RuntimeError("fit() has not been called")
@@ -83,13 +94,16 @@ class CoVisitation:
     def recommend(self, histories: DataFrame, k: int, users: DataFrame | None = None) -> DataFrame:
         """Sum of neighbour scores over the history, unseen items only, best k.
 
-        Sums are rounded before ranking, as their last digits depend on the order of addition.
+        What moves to the join is a row per history item and a row per neighbour list; lists are
+        opened behind it and added up before the shuffle by candidate. Sums are rounded before
+        ranking, as their last digits depend on the order of addition.
         """
-        if self.graph is None:
+        if self.graph is None or self.lists is None:
             raise RuntimeError("fit() has not been called")
         weights = snapshot(item_weights(histories), "covisitation-weights")
-        reached = (weights.join(self.graph, weights["item_idx"] == self.graph["src"])
-                   .groupBy("user_idx", F.col("dst").alias("item_idx"))
+        reached = (weights.join(self.lists, weights["item_idx"] == self.lists["src"])
+                   .select("user_idx", "m", F.inline("near"))
+                   .groupBy("user_idx", "item_idx")
                    .agg(F.sum(F.col("m") * F.col("score")).alias("score"))
                    .withColumn("score", F.round("score", 10)))
         return top_k(drop_seen(reached, weights), ["user_idx"],

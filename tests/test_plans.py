@@ -96,3 +96,19 @@ def test_channels_with_a_hot_user_and_a_hot_item(interactions, histories):
         if i in good:
             of_user[u] = of_user.get(u, 0) + 1
     assert kept == {(u, i) for u, i, _ in rows if i in good and of_user[u] >= 3}
+
+
+def test_covisitation_joins_whole_neighbour_lists(interactions, histories):
+    """The join moves a row per source; neighbours are opened behind it and combined before
+    their shuffle."""
+    rows = [(u, i, "2023-05-01") for u in range(40) for i in range(u % 7, 30, 1 + u % 3)]
+    model = CoVisitation(min_cooccurrence=1).fit(interactions(rows), CUT)
+    assert model.lists.count() == model.graph.select("src").distinct().count()
+    opened = {(r["src"], e["item_idx"]): e["score"] for r in model.lists.collect() for e in r["near"]}
+    assert opened == {(r["src"], r["dst"]): r["score"] for r in model.graph.collect()}
+    for r in model.lists.collect():
+        assert r["near"] == sorted(r["near"], key=lambda e: (-e["score"], e["item_idx"]))
+    text = plan(model.recommend(histories({0: [1, 2], 1: [5]}), 4))
+    lines = text.splitlines()
+    generate = next(n for n, line in enumerate(lines) if "Generate inline" in line)
+    assert any("partial_sum" in line for line in lines[:generate])
