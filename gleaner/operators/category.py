@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import top_k
 from gleaner.operators.candidates import drop_seen, item_weights
-from gleaner.operators.splits import before
+from gleaner.operators.daily import DailyCounts, counted
 from gleaner.session import snapshot
 
 # room for rounding when a bound on scores decides what can be skipped
@@ -27,19 +27,18 @@ class CategoryPopularity:
     pool: DataFrame | None = None
     shelves: DataFrame | None = None
 
-    def ranked(self, interactions: DataFrame, cutoff: int) -> DataFrame:
+    def ranked(self, interactions: DataFrame | DailyCounts, cutoff: int) -> DataFrame:
         """(category, item, pop, rn), the best items of each category in the window."""
-        counts = (before(interactions, cutoff, self.window_days)
-                  .groupBy("category_idx", "item_idx").agg(F.count(F.lit(1)).alias("pop")))
+        counts = counted(interactions, cutoff, self.window_days, "category_idx", "item_idx", name="pop")
         return top_k(counts, ["category_idx"], [F.desc("pop"), F.asc("item_idx")],
                      self.per_category, rank="rn", spread_by=["item_idx"])
 
     @staticmethod
-    def membership(interactions: DataFrame, cutoff: int) -> DataFrame:
+    def membership(interactions: DataFrame | DailyCounts, cutoff: int) -> DataFrame:
         """(item, category) over all history: old items keep their category."""
-        return before(interactions, cutoff).select("item_idx", "category_idx").distinct()
+        return counted(interactions, cutoff, None, "item_idx", "category_idx").drop("n")
 
-    def fit(self, interactions: DataFrame, cutoff: int) -> CategoryPopularity:
+    def fit(self, interactions: DataFrame | DailyCounts, cutoff: int) -> CategoryPopularity:
         self.item_categories = snapshot(self.membership(interactions, cutoff), "catpop-items")
         self.pool = snapshot(self.ranked(interactions, cutoff), "catpop-pool")
         self.shelves = snapshot(self._shelves(), "catpop-shelves")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import top_k
 from gleaner.operators.candidates import drop_seen, item_weights
-from gleaner.operators.splits import before
+from gleaner.operators.daily import DailyCounts, counted
 from gleaner.session import snapshot
 
 # Fixed values of the score.
@@ -37,10 +37,9 @@ class Content:
     stores_depth: DataFrame | None = None
     categories: DataFrame | None = None
 
-    def with_popularity(self, interactions: DataFrame, cutoff: int) -> DataFrame:
+    def with_popularity(self, interactions: DataFrame | DailyCounts, cutoff: int) -> DataFrame:
         """Attributes plus the number of interactions before the cutoff; 0 marks a cold item."""
-        pop = (before(interactions, cutoff).groupBy("item_idx")
-               .agg(F.count(F.lit(1)).alias("pop")))
+        pop = counted(interactions, cutoff, None, "item_idx", name="pop")
         return (self.items.join(pop, "item_idx", "left")
                 .select("item_idx", "main_category_idx", "store_idx", "price",
                         F.coalesce("pop", F.lit(0).cast("bigint")).alias("pop")))
@@ -107,7 +106,7 @@ class Content:
                      [F.desc("pop"), F.asc("item_idx"), F.asc("price")],
                      self.per_category, rank="_rank", spread_by=["item_idx"]).drop("_rank")
 
-    def fit(self, interactions: DataFrame, cutoff: int) -> Content:
+    def fit(self, interactions: DataFrame | DailyCounts, cutoff: int) -> Content:
         self.catalogue = snapshot(self.with_popularity(interactions, cutoff), "content-items")
         self.stores = snapshot(self.store_pool(self.catalogue), "content-stores")
         self.stores_shelf = snapshot(self._shelf(), "content-shelves")

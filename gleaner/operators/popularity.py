@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import int_array
-from gleaner.operators.splits import before
+from gleaner.operators.daily import DailyCounts, counted
 
 # the pool is a constant of the plan; about a megabyte at most
 LARGEST_POOL = 100_000
@@ -20,13 +20,12 @@ class Popularity:
     name = "popularity"
     pool: list[int] | None = None
 
-    def ranked(self, interactions: DataFrame, cutoff: int) -> DataFrame:
+    def ranked(self, interactions: DataFrame | DailyCounts, cutoff: int) -> DataFrame:
         """Pool items with their counts, most frequent first, ties by item."""
-        return (before(interactions, cutoff, self.window_days)
-                .groupBy("item_idx").agg(F.count(F.lit(1)).alias("n"))
+        return (counted(interactions, cutoff, self.window_days, "item_idx")
                 .orderBy(F.desc("n"), "item_idx").limit(self.pool_size))
 
-    def fit(self, interactions: DataFrame, cutoff: int) -> Popularity:
+    def fit(self, interactions: DataFrame | DailyCounts, cutoff: int) -> Popularity:
         if not 0 < self.pool_size <= LARGEST_POOL:
             raise ValueError(f"pool_size must lie between 1 and {LARGEST_POOL}")
         # at most pool_size ids

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import cached_property, wraps
+from functools import cached_property, reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from gleaner.operators.candidates import item_weights
 from gleaner.operators.category import CategoryPopularity
 from gleaner.operators.content import Content
 from gleaner.operators.covisitation import CoVisitation
+from gleaner.operators.daily import DailyCounts
 from gleaner.operators.popularity import Popularity
 from gleaner.operators.sampling import sample_stats, sample_users
 from gleaner.plans import runs
@@ -70,6 +71,10 @@ class Workbench:
     def interactions(self) -> DataFrame:
         return self._stored(warehouse.interactions(self.spark, self.folder), "interactions")
 
+    @cached_property
+    def daily(self) -> DailyCounts:
+        return DailyCounts.of(self.interactions)
+
     @cached_property
     def multi_category(self) -> DataFrame:
         """The same interactions filed under order priority: items in several categories."""
@@ -717,6 +722,25 @@ def rolling_windows(w):
     return parts
 
 
+@query
+def rolling_pools(w):
+    """Pools of three channels in all windows, read off one table of daily counts."""
+    return runs.rolling_pools(w.daily, WINDOWS, w.items)
+
+
+@query
+def rolling_category(w):
+    """Category popularity in all windows, fitted on the same counts."""
+    parts = []
+    for name, split in WINDOWS.items():
+        evaluation = S.build_eval_set(w.interactions, split, "valid")
+        recs = snapshot(CategoryPopularity().fit(w.daily, evaluation.cutoff)
+                        .recommend(evaluation.histories, K), "rolling-category")
+        scores = metrics.evaluate({"category_popularity": recs}, evaluation.truths, KS, k_max=K)
+        parts.append(scores.withColumn("window", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def evaluation_run(w):
     run = runs.evaluation_run(

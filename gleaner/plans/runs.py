@@ -4,7 +4,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, fields
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from gleaner.operators.als import ImplicitALS
 from gleaner.operators.category import CategoryPopularity
 from gleaner.operators.content import Content
 from gleaner.operators.covisitation import CoVisitation
+from gleaner.operators.daily import DailyCounts
 from gleaner.operators.popularity import Popularity
 from gleaner.operators.splits import (
     DEFAULT_SPLIT,
@@ -58,6 +59,7 @@ CHANNELS: Mapping[str, ChannelSettings] = {
                                       "min_item_interactions": 5}),
         ChannelSettings(Content, {"per_store": 200, "per_category": 400, "cold_slots": 50}))}
 DEFAULT_CHANNELS = ("popularity", "covisitation", "als")
+COUNTED = (Popularity, CategoryPopularity, Content)      # channels whose fit needs counts only
 
 
 def _long(section: str, table: DataFrame, label: str | None = None) -> DataFrame:
@@ -105,11 +107,13 @@ def evaluation_run(interactions: DataFrame, segment: str = "valid",
                    items: DataFrame | None = None, weights: Sequence[float] | None = None,
                    rank_constant: float = 60.0, bootstrap_samples: int = 1_000,
                    n_examples: int = 0, settings: Mapping[str, ChannelSettings] = CHANNELS,
-                   keep: Callable[[str, DataFrame], None] | None = None) -> Run:
+                   keep: Callable[[str, DataFrame], None] | None = None,
+                   counts: DailyCounts | None = None) -> Run:
     """Evaluation set, channels, both fusions, intervals, segments and diagnostics.
 
     Every list is joined to the truths once; all reports start from the hits. `keep` is
-    called with each section of the results as soon as it is known.
+    called with each section of the results as soon as it is known. Channels made of counts
+    read them off `counts`, where given, instead of the interactions.
     """
     if k < 1 or not eval_ks or any(not 1 <= x <= k for x in eval_ks):
         raise ValueError("eval_ks must lie between 1 and k")
@@ -175,7 +179,8 @@ def evaluation_run(interactions: DataFrame, segment: str = "valid",
         parameters[name] = ", ".join(
             f"{f.name}={getattr(model, f.name)}" for f in fields(model)
             if isinstance(getattr(model, f.name), int | float | str | None))
-        timed(f"{name}_fit", lambda m=model: m.fit(interactions, cutoff))
+        source = counts if counts and isinstance(model, COUNTED) else interactions
+        timed(f"{name}_fit", lambda m=model, s=source: m.fit(s, cutoff))
         recs[name] = timed(f"{name}_recommend", lambda m=model, n=name: snapshot(
             m.recommend(histories, k, evaluation.users), f"recs-{n}"))
         if hasattr(model, "stats"):
@@ -253,13 +258,39 @@ def recorded_run(interactions: DataFrame, path: str, run_id: str,
 
 
 def rolling_runs(interactions: DataFrame, windows: Mapping[str, TimeSplit],
-                 **options) -> DataFrame:
-    """The same frozen settings over several splits, results labelled by window."""
-    parts = [evaluation_run(interactions, split=split, **options).results
+                 keep: Callable[[str, str, DataFrame], None] | None = None, **options) -> DataFrame:
+    """The same frozen settings over several splits, results labelled by window.
+
+    The interactions are counted by day once; every window's pools are read off those counts.
+    `keep` is called with the window and each section of its results as soon as it is known, so a
+    failure in a later window loses nothing of the earlier ones.
+    """
+    counts = DailyCounts.of(interactions)
+    parts = [evaluation_run(interactions, split=split, counts=counts,
+                            keep=keep and partial(keep, label), **options).results
              .withColumn("window", F.lit(label)) for label, split in windows.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
+def rolling_pools(counts: DailyCounts, windows: Mapping[str, TimeSplit], items: DataFrame,
+                  segment: str = "valid") -> DataFrame:
+    """(window, channel, category_idx, item_idx, n): what each window's popularity, category and
+    content channels are made of, all of it read off one table of daily counts."""
+    parts = []
+    for label, split in windows.items():
+        cutoff = split.feature_cutoff(segment)
+        none = F.lit(None).cast("int").alias("category_idx")
+        sold = Content(items).with_popularity(counts, cutoff).filter("pop > 0")
+        for channel, pool in (
+                ("popularity", Popularity().ranked(counts, cutoff).select(none, "item_idx", "n")),
+                ("category_popularity", CategoryPopularity().ranked(counts, cutoff).select(
+                    "category_idx", "item_idx", F.col("pop").alias("n"))),
+                ("content", sold.select(none, "item_idx", F.col("pop").alias("n")))):
+            parts.append(pool.select(F.lit(label).alias("window"), F.lit(channel).alias("channel"),
+                                     "category_idx", "item_idx", "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def quality_run(interactions: DataFrame, split: TimeSplit = DEFAULT_SPLIT) -> dict[str, DataFrame]:
     """All sections of the data-quality report."""
     return {"scale": quality.overall_scale(interactions),
