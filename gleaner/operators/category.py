@@ -13,6 +13,8 @@ from gleaner.session import snapshot
 
 # room for rounding when a bound on scores decides what can be skipped
 _SLACK = 1e-9
+# entries of a shelf that share a bound
+_BLOCK = 64
 
 
 @dataclass
@@ -54,18 +56,26 @@ class CategoryPopularity:
         """One row per category: its pool in two arrays, at most per_category entries together.
 
         `alone` holds the items of this pool only, by place. `shared` holds the others, with
-        all the pools they sit in as `places`.
+        all the pools they sit in as `places`, in falling order of the score that an item can
+        reach; `bounds` holds the highest of each block of _BLOCK of them.
         """
         where = (self.pool.groupBy("item_idx")
                  .agg(F.collect_list(F.struct("category_idx", "rn")).alias("places"))
                  .filter(F.size("places") > 1))
         entry = F.struct("rn", "item_idx", "places")
         single = F.col("places").isNull()
+        # no item scores more per unit of weight than its pools times its best place allows here
+        bound = F.size("places") / (F.lit(float(self.rank_constant)) + F.col("rn"))
+        ordered = F.sort_array(F.collect_list(F.when(~single, F.struct((-bound).alias("_below"), entry.alias("e")))))
+        firsts = F.filter("_shared", lambda e, n: n % _BLOCK == 0)
         return (self.pool.join(where, "item_idx", "left")
                 .groupBy("category_idx")
                 .agg(F.count(F.lit(1)).alias("size"), F.count("places").alias("shared_n"),
                      F.sort_array(F.collect_list(F.when(single, entry))).alias("alone"),
-                     F.collect_list(F.when(~single, entry)).alias("shared")))
+                     ordered.alias("_shared"))
+                .select("category_idx", "size", "shared_n", "alone",
+                        F.transform("_shared", lambda e: e["e"]).alias("shared"),
+                        F.transform(firsts, lambda e: -e["_below"]).alias("bounds")))
 
     def _reach(self, taste: DataFrame, weights: DataFrame, k: int) -> DataFrame:
         """Adds `floor`, a score that a user's k-th best item reaches for certain, and the
@@ -98,38 +108,44 @@ class CategoryPopularity:
         """Best k unseen items by the summed score.
 
         Users x categories x pool would be the largest table here, so entries that cannot
-        reach the user's best k are not generated. An entry of an item with p pools can only
-        belong to an item scoring the floor if its own share is floor / p or more, or if
-        another entry of the item is. The score of a generated entry is complete: it adds up
-        the item's places in all of the user's categories.
+        reach the user's best k are not generated. The score of a generated entry is complete: it
+        adds up the item's places in all of the user's categories.
         """
         if self.pool is None or self.item_categories is None:
             raise RuntimeError("fit() has not been called")
-        c, w = float(self.rank_constant), F.col("w")
         weights = item_weights(histories)
+        best = (self.entries(weights, k).groupBy("user_idx", "item_idx")
+                .agg(F.max("score").alias("score")))
+        return top_k(drop_seen(best, weights), ["user_idx"],
+                     [F.desc("score"), F.asc("item_idx")], k)
+
+    def entries(self, weights: DataFrame, k: int) -> DataFrame:
+        """(user, item, score): all pool items that can be among a user's best k, some repeatedly.
+
+        An item of p pools can only score the floor if its share in one of them is floor / p or
+        more; blocks of shared entries whose bound is below that are skipped, and of the others
+        only items are generated whose complete score reaches the floor.
+        """
+        c, w = float(self.rank_constant), F.col("w")
         taste = (weights.join(self.item_categories, "item_idx")
                  .groupBy("user_idx", "category_idx").agg(F.sum("m").alias("w")))
-
         bounded = F.coalesce(F.col("floor"), F.lit(0.0)) > 0
         # no more than this many entries of `alone` have a place good enough
         first = F.when(bounded, F.greatest(F.ceil(w / F.col("floor") - F.lit(c)), F.lit(0))) \
             .otherwise(F.size("alone")).cast("int")
-        good = F.col("places").isNull() | ~bounded | (
-            F.size("places") * w / (F.lit(c) + F.col("rn")) >= F.col("floor"))
+        blocks = F.size(F.filter("bounds", lambda b: ~bounded | (b * w >= F.col("floor"))))
 
         def elsewhere(acc, place):
             return acc + F.coalesce(F.col("tastes")[place["category_idx"]], F.lit(0)) / (
                 F.lit(c) + place["rn"])
 
-        alone = w / (F.lit(c) + F.col("rn"))
-        score = F.when(F.col("places").isNull(), alone).otherwise(
-            F.aggregate("places", F.lit(0.0), elsewhere))
-        entries = (self._reach(taste, weights, k)
-                   .join(self.shelves.drop("size", "shared_n"), "category_idx")
-                   .select("user_idx", "w", "tastes", "floor", F.inline(
-                       F.concat(F.slice("alone", F.lit(1), first), "shared")))
-                   .filter(good)
-                   .select("user_idx", "item_idx", F.round(score, 10).alias("score")))
-        best = entries.groupBy("user_idx", "item_idx").agg(F.max("score").alias("score"))
-        return top_k(drop_seen(best, weights), ["user_idx"],
-                     [F.desc("score"), F.asc("item_idx")], k)
+        def whole(places):
+            return F.aggregate(places, F.lit(0.0), elsewhere)
+
+        shared = F.filter(F.slice("shared", F.lit(1), blocks * _BLOCK),
+                          lambda e: ~bounded | (whole(e["places"]) >= F.col("floor")))
+        score = F.when(F.col("places").isNull(), w / (F.lit(c) + F.col("rn"))).otherwise(whole(F.col("places")))
+        return (self._reach(taste, weights, k)
+                .join(self.shelves.drop("size", "shared_n"), "category_idx")
+                .select("user_idx", "w", "tastes", F.inline(F.concat(F.slice("alone", F.lit(1), first), shared)))
+                .select("user_idx", "item_idx", F.round(score, 10).alias("score")))
