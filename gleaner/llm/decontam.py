@@ -11,8 +11,11 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from dataclasses import dataclass
+from functools import cached_property
 from math import ceil
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,7 @@ by_value(__name__)
 _ASCII = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32
                for c in range(256))
 TERMS_A_BLOCK = 400_000       # bound of what is sent to every task: test terms in one block
+STEP = 100_000                # places of phrases in a document that are compared at a time
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -69,70 +73,53 @@ def term_counts(docs: DataFrame, terms: dict[bytes, int]) -> list[int]:
 
 
 def index(docs: DataFrame, terms: dict[bytes, int], anchors: set[int], reach: int) -> DataFrame:
-    """doc_id, digest of the text, n_words, and the document's posting lists.
+    """doc_id, digest of the text, n_words, and the document's posting lists: its terms, the length
+    of each one's list, and the lists one after the other, as 32-bit integers.
 
     Positions further than `reach` from every anchor term cannot belong to a match and are
     not stored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((terms, {w for w, n in terms.items() if n in anchors}))
+    sent = docs.sparkSession.sparkContext.broadcast((terms, np.array(sorted(anchors), dtype=np.int64)))
 
     def post(batch):
         known, rare = sent.value
-        out = {"doc_id": batch["doc_id"], "digest": batch["digest"], "n_words": [], "terms": [], "positions": []}
+        is_rare = np.zeros(len(known) + 1, dtype=bool)
+        is_rare[rare] = True
+        out = {"doc_id": batch["doc_id"], "digest": batch["digest"], "n_words": [], "terms": [], "counts": [],
+               "positions": []}
         for text in batch["text"]:
             words = words_of(text)
-            lists: dict[int, list[int]] = {}
-            done = 0
-            for p in [i for i, w in enumerate(words) if w in rare]:
-                for i in range(max(done, p - reach), min(len(words), p + reach + 1)):
-                    n = known.get(words[i])
-                    if n is not None:
-                        lists.setdefault(n, []).append(i)
-                done = max(done, min(len(words), p + reach + 1))
-            out["n_words"].append(len(words))
-            out["terms"].append(list(lists))
-            out["positions"].append(list(lists.values()))
+            n = len(words)
+            number = np.fromiter((known.get(w, -1) for w in words), np.int32, n)
+            hot = np.flatnonzero(is_rare[number])
+            open_ = np.bincount(np.maximum(hot - reach, 0), minlength=n + 1)
+            shut = np.bincount(np.minimum(hot + reach + 1, n), minlength=n + 1)
+            at = np.flatnonzero((np.cumsum(open_ - shut)[:n] > 0) & (number >= 0))
+            at = at[np.argsort(number[at], kind="stable")]
+            held, counts = np.unique(number[at], return_counts=True)
+            out["n_words"].append(n)
+            for name, values in (("terms", held), ("counts", counts), ("positions", at)):
+                out[name].append(values.astype("<i4").tobytes())
         return out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_columns(docs.select("doc_id", "text", F.xxhash64("text").alias("digest")),
-                       f"doc_id {kind}, digest bigint, n_words bigint, terms array<int>,"
-                       " positions array<array<int>>", post)
+                       f"doc_id {kind}, digest bigint, n_words bigint, terms binary, counts binary, positions binary",
+                       post)
 
 
 class Phrase:
     """Terms with their offsets, rarest first, and the items it stands for.
 
-    `spare` of the terms may be missing in a near match; `leads` are the terms one of which it
-    must hold.
+    `spare` of the terms may be missing in a near match, so it holds one of the `leads`, the
+    spare + 1 rarest, at its place.
     """
 
     def __init__(self, terms: list[int], counts: list[int], items: list[str], near_share: float):
         self.order = sorted(((t, at) for at, t in enumerate(terms)), key=lambda x: (counts[x[0]], *x))
         self.size, self.items = len(terms), items
-        self.terms = [t for t, _ in self.order]
         self.spare = self.size - max(1, ceil(near_share * self.size))
-        self.leads = list(dict.fromkeys(self.terms[:self.spare + 1]))
-
-    def absent(self, lists: dict[int, list[int]]) -> int:
-        """How many terms the document lacks, counted as far as a near match allows and one on."""
-        n = 0
-        for term in self.terms:
-            if term not in lists:
-                n += 1
-                if n > self.spare:
-                    break
-        return n
-
-    def exact(self, lists: dict[int, list[int]]) -> set[int]:
-        """Starts of all occurrences."""
-        (first, at), *rest = self.order
-        starts = {p - at for p in lists.get(first, ())}
-        for term, at in rest:
-            if not starts:
-                break
-            starts &= {p - at for p in lists.get(term, ())}
-        return starts
+        self.leads = self.order[:self.spare + 1]
 
     def near(self, lists: dict[int, list[int]], slack: int) -> bool:
         """Whether from some start all but `spare` terms lie within `slack` words of their place."""
@@ -163,6 +150,99 @@ class Phrase:
         return False
 
 
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its length says, one run after the other."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
+@dataclass
+class Matcher:
+    """The phrases of a block, entered under each of their leads."""
+
+    phrases: list[Phrase]
+    n_terms: int
+    size: int
+    slack: int
+
+    @cached_property
+    def _tables(self):
+        """Terms of each phrase by place (n_terms where it has ended), how many a near match
+        needs, and for each term the phrases that it leads with its places in them."""
+        laid = np.full((len(self.phrases), self.size), self.n_terms, dtype=np.int32)
+        need = np.zeros(len(self.phrases), dtype=np.int64)
+        leads = []
+        for n, p in enumerate(self.phrases):
+            for term, at in p.order:
+                laid[n, at] = term
+            need[n] = p.size - p.spare
+            leads.extend((term, n, at) for term, at in p.leads)
+        term, phrase, place = np.array(sorted(leads), dtype=np.int64).reshape(-1, 3).T
+        return laid, need, np.searchsorted(term, np.arange(self.n_terms + 1)), phrase, place
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_tables"}
+
+    def find(self, n_words: int, terms: np.ndarray, counts: np.ndarray,
+             positions: np.ndarray) -> tuple[set[tuple[int, int]], set[str], set[str]]:
+        """Spans, items and near items of one document.
+
+        Phrases of which the document lacks too many terms go first. The lists of the others'
+        leads, less their offsets, give the starts to look at; there the document's terms are
+        compared with the phrase, place by place for exact matches, and with twice the slack
+        for near ones, of which few are left to be tried in full.
+        """
+        laid, need, first, by_lead, place = self._tables
+        spans, exact, near = set(), set(), set()
+        begin = first[terms]
+        entry = _ragged(begin, first[terms + 1] - begin)
+        if not len(entry):
+            return spans, exact, near
+        own = np.repeat(np.arange(len(terms)), first[terms + 1] - begin)      # the document's term of an entry
+        has = np.zeros(self.n_terms + 1, dtype=bool)
+        has[terms] = True
+        asked = np.zeros(len(laid), dtype=bool)
+        asked[by_lead[entry]] = True
+        asked = np.flatnonzero(asked)
+        able = np.zeros(len(laid), dtype=bool)
+        able[asked[has[laid[asked]].sum(axis=1) >= need[asked]]] = True
+        alive = able[by_lead[entry]]
+        entry, own = entry[alive], own[alive]
+        if not len(entry):
+            return spans, exact, near
+        margin = self.size + 2 * self.slack
+        text = np.full(n_words + 2 * margin, -1, dtype=np.int32)
+        text[positions + margin] = np.repeat(terms, counts)
+        list_start = np.cumsum(counts) - counts
+        before = np.cumsum(counts[own]) - counts[own]
+        places, maybe, hits = np.arange(self.size), set(), set()
+        for part in np.split(np.arange(len(entry)), np.flatnonzero(np.diff(before // STEP)) + 1):
+            length = counts[own[part]]
+            phrase = np.repeat(by_lead[entry[part]], length)
+            start = positions[_ragged(list_start[own[part]], length)] - np.repeat(place[entry[part]], length)
+            wanted = laid[phrase]
+            ended = wanted == self.n_terms
+            at = (start + margin)[:, None] + places
+            here = text[at] == wanted
+            whole = (here | ended).all(axis=1)
+            for p, s in zip(phrase[whole].tolist(), start[whole].tolist()):
+                hits.add(p)
+                spans.add((s, s + self.phrases[p].size))
+            if self.slack or (need < (laid != self.n_terms).sum(axis=1)).any():
+                rest = ~whole
+                phrase, at, wanted, here = phrase[rest], at[rest], wanted[rest], here[rest]
+                for d in range(1, 2 * self.slack + 1):
+                    here |= (text[np.maximum(at - d, 0)] == wanted) | (text[np.minimum(at + d, len(text) - 1)] == wanted)
+                maybe.update(phrase[here.sum(axis=1) >= need[phrase]].tolist())
+        for p in hits:
+            exact.update(self.phrases[p].items)
+        if maybe - hits:
+            lists = dict(zip(terms.tolist(), (x.tolist() for x in np.split(positions, np.cumsum(counts)[:-1]))))
+            for p in maybe - hits:
+                if not exact.issuperset(self.phrases[p].items) and self.phrases[p].near(lists, self.slack):
+                    near.update(self.phrases[p].items)
+        return spans, exact, near
+
+
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10, slack: int = 3,
                   near_share: float = 0.8, terms_a_block: int = TERMS_A_BLOCK) -> DataFrame:
     """doc_id, digest, n_words, spans, items, near_items of every document.
@@ -189,31 +269,17 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, slack: int
                 for r in part.orderBy("phrase").toLocalIterator()]
         terms = {w: n for n, w in enumerate(dict.fromkeys(w for ws, _ in held for w in ws))}
         counts = term_counts(docs, terms) if terms else []
-        by_lead: dict[int, list[Phrase]] = {}
-        for words, names in held:
-            p = Phrase([terms[w] for w in words], counts, names, near_share)
-            for term in p.leads:
-                by_lead.setdefault(term, []).append(p)
-        stored = snapshot(index(docs, terms, set(by_lead), size - 1 + 2 * slack), "test-index")
-        sent = share(docs.sparkSession, by_lead)
+        held = [Phrase([terms[w] for w in words], counts, names, near_share) for words, names in held]
+        anchors = {term for p in held for term, _ in p.leads}
+        stored = snapshot(index(docs, terms, anchors, size - 1 + 2 * slack), "test-index")
+        sent = share(docs.sparkSession, Matcher(held, len(terms), size, slack))
 
         def match(batch):
-            known = sent()
+            matcher = sent()
             out = {**{c: batch[c] for c in ("doc_id", "digest", "n_words")},
                    "spans": [], "items": [], "near_items": []}
-            for numbers, places in zip(batch["terms"], batch["positions"]):
-                lists = dict(zip(numbers, places))
-                spans, exact, near = set(), set(), set()
-                for term in lists:
-                    for phrase in known.get(term, ()):
-                        absent = phrase.absent(lists)
-                        # a phrase is tried under its rarest lead in the document only
-                        if absent > phrase.spare or next(t for t in phrase.leads if t in lists) != term:
-                            continue
-                        starts = set() if absent else phrase.exact(lists)
-                        spans.update((s, s + phrase.size) for s in starts)
-                        (exact if starts else near).update(
-                            phrase.items if starts or phrase.near(lists, slack) else ())
+            for n, *lists in zip(batch["n_words"], batch["terms"], batch["counts"], batch["positions"]):
+                spans, exact, near = matcher.find(n, *(np.frombuffer(x, "<i4").astype(np.int64) for x in lists))
                 out["spans"].append(merged(spans))
                 out["items"].append(sorted(exact))
                 out["near_items"].append(sorted(near - exact))
