@@ -3,16 +3,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import day_of, global_positions, half_even, price_to_double, year_of
+from gleaner.session import snapshot
+from gleaner.sources.readers import read_reviews
 
 # Accepted times in milliseconds, 1996-01-01 to 2024-01-01, both inclusive.
 TIMESTAMP_MS_MIN = 820_454_400_000
 TIMESTAMP_MS_MAX = 1_704_067_200_000
 # Fixed value: cap of helpful votes, the largest 16-bit integer.
 VOTE_CAP = 32_767
+_EMPTY = "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
 
 
 def clean_reviews(raw: DataFrame, extra: Sequence[str] = (),
@@ -91,6 +94,28 @@ def ingest_stats(reviews: DataFrame, interactions: DataFrame) -> DataFrame:
     return kept.select("*", raw.scalar().alias("raw_rows")).withColumn("removed_pct", removed)
 
 
+def counted_reviews(spark: SparkSession, paths: Sequence[str], **options) -> tuple[DataFrame, DataFrame]:
+    """Clean reviews of raw files, written down, and one row of counts from the same scan: lines,
+    broken_lines, kept_rows and the percentage of lines that are gone.
+
+    Lines are counted where they are read, kept rows where they leave the cleaning, so nothing is
+    read twice. `options` are those of `clean_reviews`.
+    """
+    read, kept = Observation("lines"), Observation("kept")
+    rows = clean_reviews(read_reviews(spark, paths, read), **options).observe(kept, F.count(F.lit(1)).alias("kept_rows"))
+    # where no row is left, a plan that is cut down while it runs would lose the counts with it
+    rule = "spark.sql.adaptive.optimizer.excludedRules"
+    was = spark.conf.get(rule, "")
+    spark.conf.set(rule, ",".join(filter(None, [was, _EMPTY])))
+    try:
+        reviews = snapshot(rows, "reviews")
+    finally:
+        spark.conf.set(rule, was) if was else spark.conf.unset(rule)
+    counts = spark.range(1).select(*(F.lit(n).cast("bigint").alias(name) for name, n in (read.get | kept.get).items()))
+    return reviews, counts.withColumn("removed_pct", F.try_divide(
+        F.lit(100.0) * (F.col("lines") - F.col("kept_rows")), F.col("lines")))
+
+
 def clean_metadata(raw: DataFrame) -> DataFrame:
     """Item metadata with a numeric price. Rating averages and counts are left out on
     purpose: they include reviews written after any cutoff."""

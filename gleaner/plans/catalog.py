@@ -179,9 +179,10 @@ class Workbench:
         for name, rows, label in (("", warehouse.raw_reviews(self.spark, self.folder), "category"),
                                   ("meta_", warehouse.raw_metadata(self.spark, self.folder), None)):
             fields = [c for c in rows.columns if c not in ("category", "l_orderkey", "l_linenumber")]
+            number = F.col("l_orderkey") * 7 + F.col("l_linenumber") if label else F.xxhash64(*fields)
             lines = rows.select(F.col(label).alias("file") if label else F.lit("Parts").alias("file"),
                                 F.to_json(F.struct(*fields)).alias("value"),
-                                F.pmod(F.xxhash64(*fields), F.lit(1_000)).alias("n"))
+                                F.pmod(number, F.lit(1_000)).alias("n"))
             lines = snapshot(lines.select("file", F.explode(F.coalesce(broken, F.array("value")))
                                           .alias("value")), "json-lines")
             for file in warehouse.CATEGORY_NAMES["p_type"] if label else ("Parts",):
@@ -700,6 +701,13 @@ def reviews_from_json(w):
     return ingest.clean_reviews(read_reviews(w.spark, paths), time_range=(0, ingest.TIMESTAMP_MS_MAX))
 
 
+@query
+def review_lines(w):
+    """Lines, broken lines and kept rows of the raw reviews, all from the scan that cleans them."""
+    paths = category_paths(w.spark, w.raw_json, warehouse.CATEGORY_NAMES["p_type"])
+    return ingest.counted_reviews(w.spark, paths, time_range=(0, ingest.TIMESTAMP_MS_MAX))[1]
+
+
 @query
 def metadata_from_json(w):
     paths = category_paths(w.spark, w.raw_json, ["Parts"], prefix="meta_")

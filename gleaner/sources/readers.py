@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.sources.schemas import METADATA_SCHEMA, REVIEW_SCHEMA
 
@@ -29,19 +30,35 @@ def category_paths(spark: SparkSession, folder: str, categories: Sequence[str],
     return [f"{folder}/{n}" for n in names]
 
 
-def read_reviews(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Raw reviews with the category taken from the file name. Unreadable lines are skipped.
+_BROKEN = "_broken_line"
+
+
+def _lines(spark: SparkSession, paths: Sequence[str], schema: T.StructType,
+           counted: Observation | None) -> DataFrame:
+    """JSON lines, the unreadable ones as rows of nulls; what cannot be read of a line is null.
+
+    `counted` gets `lines`, those that are not blank, and `broken_lines` from the scan itself.
+    """
+    rows = (spark.read.schema(T.StructType([*schema, T.StructField(_BROKEN, T.StringType())])).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", _BROKEN).json(list(paths)))
+    if counted is not None:
+        rows = rows.observe(counted, F.count(F.lit(1)).alias("lines"), F.count(_BROKEN).alias("broken_lines"))
+    return rows.drop(_BROKEN)
+
+
+def read_reviews(spark: SparkSession, paths: Sequence[str], counted: Observation | None = None) -> DataFrame:
+    """Raw reviews with the category taken from the file name. Unreadable lines are rows of
+    nulls, which cleaning drops; `counted` tells how many there are.
 
     A gzip file can only be parsed by one task; the parsed rows are dealt out evenly right
     behind it. The name is that of the file, or of the folder that holds a category's files.
     """
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl\.gz(?:/[^/]*)?$", 1)
-    return _spread(spark.read.schema(REVIEW_SCHEMA).option("mode", "PERMISSIVE").json(list(paths))
-                   .withColumn("category", F.url_decode(name)))
+    return _spread(_lines(spark, paths, REVIEW_SCHEMA, counted).withColumn("category", F.url_decode(name)))
 
 
-def read_metadata(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    return _spread(spark.read.schema(METADATA_SCHEMA).option("mode", "PERMISSIVE").json(list(paths)))
+def read_metadata(spark: SparkSession, paths: Sequence[str], counted: Observation | None = None) -> DataFrame:
+    return _spread(_lines(spark, paths, METADATA_SCHEMA, counted))
 
 
 def _spread(rows: DataFrame) -> DataFrame:

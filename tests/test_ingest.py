@@ -161,3 +161,21 @@ def test_quality_run_sections(thousand):
     assert report["anomalies"].first()["year_mismatch"] == 0
     assert report["user_activity"].first()["users_10_49"] == 1000
     assert report["yearly_volume"].count() == 2
+
+
+def test_lines_are_counted_by_the_scan_that_cleans_them(spark, tmp_path):
+    good = {"user_id": "u", "parent_asin": "p", "rating": 4.0, "timestamp": 1_500_000_000_000, "helpful_vote": 1,
+            "verified_purchase": True}
+    lines = [json.dumps({**good, "user_id": f"u{n}"}) for n in range(7)]
+    lines += ['{"rating": ', "no json", json.dumps({**good, "rating": 9.0}), "", json.dumps({**good, "user_id": None})]
+    with gzip.open(tmp_path / "Toy.jsonl.gz", "wt") as f:
+        f.write("\n".join(lines))
+    reviews, counts = ingest.counted_reviews(spark, category_paths(spark, str(tmp_path), ["Toy"]))
+    assert reviews.count() == 7
+    row = counts.first()
+    assert (row["lines"], row["broken_lines"], row["kept_rows"]) == (11, 2, 7)
+    assert row["removed_pct"] == pytest.approx(100 * 4 / 11)
+    with gzip.open(tmp_path / "None.jsonl.gz", "wt") as f:
+        f.write("")
+    empty = ingest.counted_reviews(spark, category_paths(spark, str(tmp_path), ["None"]))[1].first()
+    assert tuple(empty) == (0, 0, 0, None)
