@@ -26,9 +26,11 @@ from gleaner.sources import (
     read_interactions,
     read_metadata,
     read_reviews,
+    read_table,
     source_inventory,
     warehouse,
     write_by_year,
+    write_table,
 )
 
 K = 50
@@ -611,6 +613,15 @@ def paired_bootstrap_exact(w):
         w.found, w.evaluation.truths, "popularity", "weighted_rrf", K), method="exact")
 
 
+@query
+def bootstrap_moments(w):
+    """Both kinds of resampling against the mean and standard error they must have."""
+    differences = snapshot(bootstrap.differences_of(
+        w.found, w.evaluation.truths, "popularity", "weighted_rrf", K), "differences")
+    return reduce(DataFrame.unionByName, (
+        bootstrap.moments_of(differences, 2_000, method=method) for method in ("poisson", "exact")))
+
+
 @query
 def examples(w):
     return metrics.examples(w.evaluation, w.lists, 3)
@@ -749,6 +760,32 @@ def rolling_category(w):
     return reduce(DataFrame.unionByName, parts)
 
 
+@query
+def run_record(w):
+    """Metrics and last status of a recorded run, read back from its record."""
+    path = f"{shared_folder(w.spark)}/record-{uuid.uuid4().hex}"
+    runs.recorded_run(w.interactions, path, "first", segment="test", split=SPLIT, k=K, eval_ks=KS,
+                      channels=("popularity", "category_popularity"), bootstrap_samples=0)
+    status = w.spark.read.parquet(f"{path}/status").agg(F.max_by("status", "at").alias("status"))
+    return (w.spark.read.parquet(f"{path}/results").filter("section = 'results' AND metric <> 'coverage'")
+            .filter(F.col("name").isin("popularity", "category_popularity"))
+            .select("run_id", F.col("name").alias("channel"), "metric", "value", status.scalar().alias("status")))
+
+
+@query
+def stored_tables(w):
+    """Id maps and item attributes written by the sink for tables and read back."""
+    parts = []
+    for name, rows, key, idx in (("user", w.user_map, "user_id", "user_idx"), ("item", w.item_map, "parent_asin", "item_idx"),
+                                 ("store", w.items.select(F.col("store_idx").cast("string").alias("store"), "item_idx"),
+                                  "store", "item_idx")):
+        path = f"{shared_folder(w.spark)}/stored-{uuid.uuid4().hex}"
+        write_table(rows, path)
+        parts.append(read_table(w.spark, path).select(
+            F.lit(name).alias("kind"), F.col(key).alias("name"), F.col(idx).cast("bigint").alias("idx")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def evaluation_run(w):
     run = runs.evaluation_run(

@@ -3,6 +3,7 @@ import random
 
 import pytest
 from conftest import ranked
+from pyspark.sql import functions as F
 
 from gleaner.operators import bootstrap, diagnostics, fusion, metrics, quality
 
@@ -167,3 +168,22 @@ def test_long_tail_equals_ranking(interactions):
     assert row["top_items"] == top
     assert row["top_1pct_share"] == pytest.approx(100 * sum(order[:top]) / len(rows))
     assert row["single_interaction_items_pct"] == pytest.approx(100 * order.count(1) / len(order))
+
+
+@pytest.mark.parametrize("method", ["poisson", "exact"])
+def test_resampled_means_have_the_moments_they_must_have(spark, method, monkeypatch):
+    rng = random.Random(5)
+    rows = [(u, rng.choice([-0.5, -0.25, 0.0, 0.0, 0.0, 0.25, 0.5, 1.0])) for u in range(400)]
+    differences = spark.createDataFrame(rows, "user_idx int, diff double")
+    row = bootstrap.moments_of(differences, 1_000, method=method).first()
+    mean = sum(d for _, d in rows) / 400
+    spread = (sum((d - mean) ** 2 for _, d in rows) / 400) ** 0.5 / 400 ** 0.5
+    assert (row["delta"], row["std_error"], row["n_users"]) == (pytest.approx(mean), pytest.approx(spread), 400)
+    assert row["mean_fits"] and row["spread_fits"] and row["interval_fits"]
+    # resamples that are off are noticed
+    right = bootstrap.resampled_means
+    for change, fact in ((F.col("mean") + spread, "mean_fits"), (F.col("mean") * 2, "spread_fits"),
+                         (F.col("mean") * 2, "interval_fits")):
+        monkeypatch.setattr(bootstrap, "resampled_means",
+                            lambda *a, c=change: right(*a).select(c.alias("mean")))
+        assert not bootstrap.moments_of(differences, 1_000, method=method).first()[fact]
