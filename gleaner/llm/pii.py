@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.boosting import bounded, fit_boosted
@@ -257,11 +257,18 @@ def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
     def covered(text: pd.Series, marks: pd.Series) -> pd.Series:
         return pd.Series(cover({"text": text, "marks": [None if m is None else list(m) for m in marks]}))
 
-    joined_ = docs.withColumn("_digest0", F.xxhash64("text")).join(
-        marks, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_digest0") == F.col("_digest")), "left")
-    plain = joined_.withColumn("text", F.when(F.col("_marks").isNotNull(), covered("text", "_marks"))
-                               .otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        plain = plain.withColumn("n_chars", F.when(F.col("_marks").isNotNull(), F.length("text").cast(
-            docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return plain.select(*docs.columns)
+    # whole rows travel as one column, so that no input column meets a name used here
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), "text",
+                       F.xxhash64("text").alias("print"))
+    marked = rows.join(marks, F.col("id").eqNullSafe(F.col("_doc")) & (F.col("print") == F.col("_digest")), "left")
+    hit = F.col("_marks").isNotNull()
+    plain = marked.withColumn("covered", F.when(hit, covered("text", "_marks")).otherwise(F.col("text")))
+
+    def kept(name: str) -> Column:
+        if name == "text":
+            return F.col("covered").alias(name)
+        if name == "n_chars":
+            return F.when(hit, F.length("covered").cast(docs.schema[name].dataType)).otherwise(F.col("row")[name]).alias(name)
+        return F.col("row")[name].alias(name)
+
+    return plain.select(*map(kept, docs.columns))

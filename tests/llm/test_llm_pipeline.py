@@ -45,3 +45,32 @@ def test_stages_keep_columns_and_take_odd_rows(spark, tmp_path):
             if name == "near_duplicates" and start is docs:
                 assert rows.count() == len(odd_rows()) - 1       # the repeated row
     assert M.SHINGLE == 5 and len(corpus_pipeline.STAGES) == 5
+
+
+CLASHES = ["row", "digest", "_text", "_doc", "_digest", "_marks", "hit_id", "print", "id", "covered", "kept", "class_id",
+           "q_score", "p_text", "meta", "label", "copy", "copies", "_key", "_of", "_want", "items", "features"]
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    rows = [(n, " ".join(words(n, 30)) + (" me@mail.example.com" if n == 3 else ""), "en", f"s{n % 2}", 100, *["x"] * len(CLASHES))
+            for n in range(1, 12)]
+    docs = spark.createDataFrame([*rows, rows[0]], ", ".join(
+        ["doc_id bigint, text string, lang string, source string, n_chars bigint", *(f"`{c}` string" for c in CLASHES)]))
+    spark.createDataFrame([(n, n % 2) for n in range(1, 12)], "doc_id bigint, quality int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(words(5, 30)))], "item_id bigint, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = snapshot(stage(spark, docs, str(tmp_path)), f"test-{name}")
+        assert set(docs.columns) <= set(out.columns)
+        for r in out.collect():
+            assert all(r[c] == "x" for c in CLASHES if name != "mixing" or c not in ("copy", "copies"))
+        if name != "mixing":
+            assert out.columns == docs.columns
+        if name == "near_duplicates":
+            assert out.count() == 11
+        if name == "decontamination":
+            assert 5 not in {r["doc_id"] for r in out.collect()} and out.count() == 11
+        if name == "personal_data":
+            covered = {r["doc_id"]: r for r in out.collect()}[3]
+            assert covered["text"].endswith("[EMAIL]") and covered["n_chars"] == len(covered["text"])
