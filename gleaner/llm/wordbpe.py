@@ -12,6 +12,7 @@ import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
+from struct import pack
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,8 +25,11 @@ from gleaner.llm.pretokens import byte_signs, cutter
 by_value(__name__)
 
 NONE = 1 << 62                # a pair that is not in the vocabulary
+SHIFT = 24                    # room for a symbol in a pair's number
 CACHE = 300_000               # encoded pre-tokens a task remembers; it starts anew beyond
 LONGEST_KEY = 64              # longer pre-tokens are encoded but not remembered
+LONGEST_TREE = 65             # bytes of a pre-token up to which trees lie side by side
+TREES = 8_192                 # trees in one array
 
 
 @dataclass
@@ -35,7 +39,7 @@ class WordBPE:
     content: str                             # the file, for its normalizer and character classes
     first: list[int]                         # symbol of each byte inside a pre-token
     last: list[int]                          # and at its end
-    pairs: dict[tuple[int, int], int]        # rank of the merge of two symbols
+    pairs: dict[int, int]                    # rank of the merge of two symbols, left << SHIFT | right
     merged: list[int]                        # symbol that the merge of a rank makes
     tokens: dict[int, str]                   # by id, added tokens included
     added: dict[str, int]                    # strings that are taken from the raw text
@@ -69,7 +73,7 @@ class WordBPE:
         pairs, merged = {}, []
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            pairs[vocab[left], vocab[right]] = rank
+            pairs[vocab[left] << SHIFT | vocab[right]] = rank
             merged.append(vocab[left + right])
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         return cls(content, [vocab[s] for s in signs], [vocab[s + end] for s in signs], pairs, merged,
@@ -90,7 +94,7 @@ class WordBPE:
                 re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_parts"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_parts", "_arrays")}
 
     def pretokens(self, text: str) -> list[str | int]:
         """The text's pre-tokens in order, and the ids of added tokens between them.
@@ -111,57 +115,129 @@ class WordBPE:
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token."""
         raw = word.encode()
-        sym = [self.first[b] for b in raw[:-1]]
-        sym.append(self.last[raw[-1]])
-        n = len(sym)
+        first, n = self.first, len(raw)
+        sym = [first[b] for b in raw]
+        sym[-1] = self.last[raw[-1]]
         if n == 1:
             return sym
         rank_of, merged, m = self.pairs.get, self.merged, n - 1
         tree = [NONE] * (2 * m)
         for i in range(m):
-            rank = rank_of((sym[i], sym[i + 1]))
+            rank = rank_of(sym[i] << SHIFT | sym[i + 1])
             if rank is not None:
                 tree[m + i] = rank * n + i
         for i in range(m - 1, 0, -1):
             a, b = tree[2 * i], tree[2 * i + 1]
             tree[i] = a if a < b else b
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def put(leaf: int, value: int) -> None:
-            at = leaf + m
-            tree[at] = value
-            at >>= 1
-            while at:
-                a, b = tree[2 * at], tree[2 * at + 1]
-                low = a if a < b else b
-                if tree[at] == low:
-                    return
-                tree[at] = low
-                at >>= 1
-
-        def pair(i: int, j: int) -> int:
-            rank = rank_of((sym[i], sym[j]))
-            return NONE if rank is None else rank * n + i
-
         while tree[1] < NONE:
             rank, i = divmod(tree[1], n)
             gone = after[i]
             sym[i], sym[gone] = merged[rank], -1
             right = after[i] = after[gone]
-            if gone < m:
-                put(gone, NONE)
+            left = before[i]
             if right < n:
                 before[right] = i
-                put(i, pair(i, right))
+                rank = rank_of(sym[i] << SHIFT | sym[right])
+                changed = [(gone, NONE), (i, NONE if rank is None else rank * n + i)]
             else:
-                put(i, NONE)
-            if before[i] >= 0:
-                put(before[i], pair(before[i], i))
+                changed = [(gone, NONE), (i, NONE)] if gone < m else [(i, NONE)]
+            if left >= 0:
+                rank = rank_of(sym[left] << SHIFT | sym[i])
+                changed.append((left, NONE if rank is None else rank * n + left))
+            for leaf, low in changed:                    # up to the first node that stays as it is
+                at = leaf + m
+                while tree[at] != low:
+                    tree[at] = low
+                    if at == 1:
+                        break
+                    beside = tree[at ^ 1]
+                    at >>= 1
+                    if beside < low:
+                        low = beside
         return [s for s in sym if s >= 0]
 
+    @cached_property
+    def _arrays(self):
+        """The pairs in order with their ranks, the merged symbols, and the bytes' symbols."""
+        keys = np.array(sorted(self.pairs), dtype=np.int64)
+        return (keys, np.array([self.pairs[k] for k in keys.tolist()], dtype=np.int64),
+                *(np.array(x, dtype=np.int64) for x in (self.merged, self.first, self.last)))
+
+    def merge_many(self, words: list[str]) -> list[bytes]:
+        """Ids of many pre-tokens as little-endian 32-bit integers.
+
+        Short ones have their trees side by side in one array: in each round every tree's root
+        is merged and its leaves' paths are renewed, level by level for all trees at once.
+        """
+        out: list[bytes] = [b""] * len(words)
+        raw = [w.encode() for w in words]
+        classes: dict[int, list[int]] = {}
+        for n, word in enumerate(raw):
+            if len(word) > LONGEST_TREE:
+                out[n] = np.array(self.merge(words[n]), dtype="<u4").tobytes()
+            else:
+                classes.setdefault(max(1, (len(word) - 2).bit_length()), []).append(n)
+        for depth, members in classes.items():
+            for at in range(0, len(members), TREES):
+                part = members[at:at + TREES]
+                for n, ids in zip(part, self._merged_together([raw[n] for n in part], 1 << depth)):
+                    out[n] = ids
+        return out
+
+    def _merged_together(self, raw: list[bytes], m: int) -> list[bytes]:
+        """`raw` have at most m + 1 bytes; m, a power of two, is the number of leaves of a tree."""
+        keys, ranks, merged, first, last = self._arrays
+        size, width = np.array([len(r) for r in raw]), m + 2            # the last place is beyond the end
+        row = np.repeat(np.arange(len(raw)), size)
+        col = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        sym = np.full((len(raw), width), -1, dtype=np.int64)
+        sym[row, col] = first[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+        sym[np.arange(len(raw)), size - 1] = last[[r[-1] for r in raw]]
+        after = np.tile(np.arange(1, width + 1), (len(raw), 1))
+        before = np.tile(np.arange(-1, width - 1), (len(raw), 1))
+
+        def leaf(left, right, place):
+            wanted = np.where((left < 0) | (right < 0), -1, left << SHIFT | right)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            return np.where(keys[at] == wanted, ranks[at] * width + place, NONE)
+
+        tree = np.full((len(raw), 2 * m), NONE, dtype=np.int64)
+        tree[:, m:] = leaf(sym[:, :m], sym[:, 1:m + 1], np.arange(m))
+        level = m
+        while level > 1:
+            level >>= 1
+            tree[:, level:2 * level] = np.minimum(tree[:, 2 * level:4 * level:2], tree[:, 2 * level + 1:4 * level:2])
+        alive = np.flatnonzero(tree[:, 1] < NONE)
+        while len(alive):
+            rank, i = np.divmod(tree[alive, 1], width)
+            gone = after[alive, i]
+            right = np.minimum(after[alive, gone], width - 1)
+            left = before[alive, i]
+            sym[alive, i], sym[alive, gone] = merged[rank], -1
+            after[alive, i], before[alive, right] = right, i
+            own = leaf(sym[alive, i], sym[alive, right], i)
+            none = gone >= m                                            # that place has no leaf
+            tree[alive, m + np.where(none, i, gone)] = NONE
+            tree[alive, m + i] = own
+            outer = np.where(left < 0, i, left)
+            tree[alive, m + outer] = np.where(left < 0, own, leaf(sym[alive, left], sym[alive, i], left))
+            for changed in (np.where(none, i, gone), i, outer):
+                at = m + changed
+                for _ in range(m.bit_length() - 1):
+                    at >>= 1
+                    tree[alive, at] = np.minimum(tree[alive, 2 * at], tree[alive, 2 * at + 1])
+            alive = alive[tree[alive, 1] < NONE]
+        kept = sym >= 0
+        ids, ends = sym[kept].astype("<u4").tobytes(), 4 * np.cumsum(kept.sum(axis=1))
+        return [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
     def decode(self, ids: Sequence[int]) -> str:
         """Tokens joined by spaces, as the file names no decoder; unknown ids are left out."""
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+        try:
+            return " ".join(map(self.tokens.__getitem__, ids))
+        except KeyError:
+            return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -179,18 +255,15 @@ def encoded(docs: DataFrame, tokenizer_path: str, keep: Sequence[str] = ("doc_id
         model = bpe()
         if len(known) > CACHE:
             known.clear()
-        rows = []
-        for text in batch["_text"]:
-            parts = []
-            for word in model.pretokens(text or ""):
-                raw = known.get(word)
-                if raw is None:
-                    ids = [word] if isinstance(word, int) else model.merge(word)
-                    raw = np.array(ids, dtype="<u4").tobytes()
-                    if isinstance(word, int) or len(word) <= LONGEST_KEY:
-                        known[word] = raw
-                parts.append(raw)
-            rows.append(b"".join(parts))
+        texts = [model.pretokens(text or "") for text in batch["_text"]]
+        new = list({w for words in texts for w in words if w not in known})
+        words = [w for w in new if isinstance(w, str)]
+        known.update(zip(words, model.merge_many(words)))
+        known.update((i, pack("<I", i)) for i in new if isinstance(i, int))
+        rows = [b"".join(map(known.__getitem__, words)) for words in texts]
+        for word in words:
+            if len(word) > LONGEST_KEY:
+                del known[word]
         return {**{c: batch[c] for c in keep}, "n_tokens": [len(r) // 4 for r in rows], "ids": rows}
 
     return map_columns(docs.select(*keep, docs["text"].alias("_text")),

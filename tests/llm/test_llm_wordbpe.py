@@ -40,6 +40,8 @@ def test_ids_and_text_equal_the_library(library, bpe):
               "".join(chr(rng.choice([rng.randint(1, 0xd7ff), rng.randint(0xe000, 0x10ffff)])) for _ in range(3000))]
     for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
         assert ids_of(bpe, text) == want.ids, repr(text)
+        words = [w for w in bpe.pretokens(text) if isinstance(w, str)]
+        assert bpe.merge_many(words) == [np.array(bpe.merge(w), dtype="<u4").tobytes() for w in words]
         assert bpe.decode(want.ids) == library.decode(want.ids, skip_special_tokens=False)
 
 
@@ -58,6 +60,15 @@ def test_bytes_have_the_signs_of_the_vocabulary(bpe):
     assert [bpe.tokens[i] for i in bpe.first] == byte_signs()
 
 
+def test_trees_side_by_side_equal_single_ones(bpe):
+    rng = random.Random(11)
+    words = ["".join(rng.choice(signs) for _ in range(rng.randint(1, longest)))
+             for signs in ("etaoinshrdlu", "ab", "éüñß漢👍a", "0123456789=-") for longest in (3, 9, 17, 40, 90)
+             for _ in range(400)]
+    assert bpe.merge_many(words) == [np.array(bpe.merge(w), dtype="<u4").tobytes() for w in words]
+    assert bpe.merge_many([]) == []
+
+
 def test_long_unbroken_text_takes_n_log_n(bpe):
     rng = random.Random(9)
     text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400_000))
