@@ -26,10 +26,11 @@ by_value(__name__)
 
 NONE = 1 << 62                # a pair that is not in the vocabulary
 SHIFT = 24                    # room for a symbol in a pair's number
-CACHE = 300_000               # encoded pre-tokens a task remembers; it starts anew beyond
+CACHE = 200_000               # encoded pre-tokens a task remembers; it starts anew beyond
 LONGEST_KEY = 64              # longer pre-tokens are encoded but not remembered
 LONGEST_TREE = 65             # bytes of a pre-token up to which trees lie side by side
-TREES = 8_192                 # trees in one array
+TREES = 4_096                 # trees in one array
+STEP_CHARS = 1 << 20          # characters cut at a time; a longer text is cut alone
 
 
 @dataclass
@@ -253,17 +254,24 @@ def encoded(docs: DataFrame, tokenizer_path: str, keep: Sequence[str] = ("doc_id
 
     def encode(batch):
         model = bpe()
-        if len(known) > CACHE:
-            known.clear()
-        texts = [model.pretokens(text or "") for text in batch["_text"]]
-        new = list({w for words in texts for w in words if w not in known})
-        words = [w for w in new if isinstance(w, str)]
-        known.update(zip(words, model.merge_many(words)))
-        known.update((i, pack("<I", i)) for i in new if isinstance(i, int))
-        rows = [b"".join(map(known.__getitem__, words)) for words in texts]
-        for word in words:
-            if len(word) > LONGEST_KEY:
-                del known[word]
+        rows: list[bytes] = []
+        while len(rows) < len(batch["_text"]):
+            texts, chars = [], 0
+            for text in batch["_text"][len(rows):]:
+                if texts and chars + len(text or "") > STEP_CHARS:
+                    break
+                texts.append(model.pretokens(text or ""))
+                chars += len(text or "")
+            new = list({w for words in texts for w in words if w not in known})
+            fresh = [w for w in new if isinstance(w, str)]
+            known.update(zip(fresh, model.merge_many(fresh)))
+            known.update((i, pack("<I", i)) for i in new if isinstance(i, int))
+            rows += [b"".join(map(known.__getitem__, words)) for words in texts]
+            for word in fresh:
+                if len(word) > LONGEST_KEY:
+                    del known[word]
+            if len(known) > CACHE:
+                known.clear()
         return {**{c: batch[c] for c in keep}, "n_tokens": [len(r) // 4 for r in rows], "ids": rows}
 
     return map_columns(docs.select(*keep, docs["text"].alias("_text")),
