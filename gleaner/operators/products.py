@@ -6,7 +6,9 @@ sent there, and inside a shelf it stops at the first step out of its reach. The
 searched for everyone; what it gives are the thresholds for all others.
 
 Each shelf is shuffled to a number of lanes that depends on the number of shelves alone; the
-users come to the shelves, not the shelves to the users.
+users come to the shelves, not the shelves to the users. The shelves behind the first are taken
+in rounds, each WIDEN times as far as the last, and the thresholds rise from round to round: what a
+round writes down is a few times what is wanted, however many shelves there are.
 """
 from __future__ import annotations
 
@@ -17,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -31,6 +33,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIGITS = 5                   # scores are rounded, so that a list does not depend on the blocking
 TASKS = 64                   # tasks of a round, at least
+WIDEN = 4                    # shelves after a round to those before it
 _REACH = 2e-5                # room for that rounding and for single precision
 _FLOAT = 1e-6
 
@@ -165,11 +168,82 @@ def best_products(items: DataFrame, users: DataFrame, factors: int, per_shelf: i
     start = users.withColumn("least", F.lit(float("-inf")))
     if not tops:
         return start.select("user_idx", F.lit(0).alias("item_idx"), F.lit(0.0).alias("score")).limit(0)
-    lead = _round(shelves, tops[:1], 0, start, factors, step, score_bytes, "products-lead")
-    if len(tops) == 1:
-        return lead
-    have = lead.groupBy("user_idx").agg(F.count("*").alias("n"), F.min("score").alias("low"))
-    raised = snapshot(users.join(have, "user_idx", "left").select(
-        *users.columns, F.when(F.col("n") >= F.col("wanted"), F.col("low"))
-        .otherwise(F.lit(float("-inf"))).alias("least")), "products-users")
-    return lead.unionByName(_round(shelves, tops[1:], 1, raised, factors, step, score_bytes, "products-rest"))
+    best = _round(shelves, tops[:1], 0, start, factors, step, score_bytes, "products-lead")
+    done = 1
+    while done < len(tops):
+        have = best.groupBy("user_idx").agg(F.count("*").alias("n"), F.min("score").alias("low"))
+        raised = snapshot(users.join(have, "user_idx", "left").select(
+            *users.columns, F.when(F.col("n") >= F.col("wanted"), F.col("low"))
+            .otherwise(F.lit(float("-inf"))).alias("least")), "products-users")
+        to = WIDEN * done
+        more = _round(shelves, tops[done:to], done, raised, factors, step, score_bytes, "products-more")
+        best = snapshot(_wanted_of(best.unionByName(more), users), "products-best")
+        done = to
+    return best
+
+
+def _wanted_of(scored: DataFrame, users: DataFrame) -> DataFrame:
+    """The best `wanted` rows of every user, ties by item."""
+    place = F.row_number().over(Window.partitionBy("user_idx").orderBy(F.desc("score"), "item_idx"))
+    return (scored.withColumn("_place", place).join(users.select("user_idx", "wanted"), "user_idx")
+            .filter("_place <= wanted").select("user_idx", "item_idx", "score"))
+
+
+def above(items: DataFrame, users: DataFrame, factors: int, per_block: int = 262_144,
+          score_bytes: int = 64 << 20) -> DataFrame:
+    """(user_idx, item_idx, score): every pair whose product is more than the user's `least`.
+
+    All users against all items, with no order and no bound that skips any. `items` has item_idx and
+    features, `users` user_idx, features and least. Items are dealt out in blocks, users stream past
+    them, and only the pairs found leave a task; scores are sums in double precision.
+    """
+    blocks = -(-max(items.count(), 1) // per_block)
+    lanes = -(-TASKS // blocks)
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = (items.select(F.lit(0).alias("kind"), F.col("item_idx").alias("id"), "features", F.lit(0.0).alias("least"))
+            .withColumn("block", dealt("id", blocks)).withColumn("lane", every(lanes)))
+    asked = (users.select(F.lit(1).alias("kind"), F.col("user_idx").alias("id"), "features",
+                          F.col("least").cast("double").alias("least"))
+             .withColumn("lane", dealt("id", lanes)).withColumn("block", every(blocks)))
+    arrow = to_arrow_schema(T.StructType.fromDDL("user_idx int, item_idx int, score double"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, ids, y, longest = None, [], [], 0.0
+        for batch in batches:
+            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            key = np.stack([col[n].to_numpy() for n in ("block", "lane", "kind")])
+            edges = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)][:key.shape[1]])
+            for at, to in zip(edges, np.r_[edges[1:], key.shape[1]]):
+                part = {n: col[n].slice(int(at), int(to - at)) for n in ("id", "features", "least")}
+                x = part["features"].flatten().to_numpy(zero_copy_only=False).reshape(-1, factors).astype(np.float32)
+                if cell != tuple(key[:2, at]):
+                    cell, ids, y = tuple(key[:2, at]), [], []
+                if key[2, at] == 0:
+                    ids.append(part["id"].to_numpy())
+                    y.append(x)
+                    continue
+                if not y:
+                    continue
+                if len(y) > 1 or len(ids) > 1:
+                    ids, y = [np.concatenate(ids)], [np.concatenate(y)]
+                longest = float(np.sqrt((y[0].astype(np.float64) ** 2).sum(axis=1).max()))
+                yield from over(part["id"].to_numpy(), x, part["least"].to_numpy(), ids[0], y[0], longest)
+
+    def over(user, x, least, ids, y, longest):
+        # what single precision may be short of
+        low = (least - _FLOAT * factors * longest * np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))).astype(np.float64)
+        step = 8_192
+        rows = max(1, score_bytes // (4 * step))
+        for a in range(0, len(x), rows):
+            for b in range(0, len(y), step):
+                near = x[a:a + rows] @ y[b:b + step].T
+                u, i = np.nonzero(near > np.nextafter(low[a:a + rows].astype(np.float32), np.float32(-np.inf))[:, None])
+                score = (x[a + u].astype(np.float64) * y[b + i]).sum(axis=1)
+                real = score > least[a + u]
+                if real.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(user[a + u[real]]), pa.array(ids[b + i[real]]),
+                                                      pa.array(score[real])], schema=arrow)
+
+    return (held.unionByName(asked).repartition(lanes * blocks, "block", "lane")
+            .sortWithinPartitions("block", "lane", "kind").mapInArrow(run, "user_idx int, item_idx int, score double"))

@@ -17,6 +17,7 @@ from gleaner.operators.content import Content
 from gleaner.operators.covisitation import CoVisitation
 from gleaner.operators.daily import DailyCounts
 from gleaner.operators.popularity import Popularity
+from gleaner.operators.products import above
 from gleaner.operators.sampling import sample_stats, sample_users
 from gleaner.plans import runs
 from gleaner.session import prepare, shared_folder, snapshot

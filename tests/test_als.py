@@ -3,7 +3,7 @@ import pytest
 from conftest import ranked
 
 from gleaner.operators.als import ImplicitALS
-from gleaner.operators.products import best_of, best_products, search
+from gleaner.operators.products import above, best_of, best_products, search
 from gleaner.operators.splits import unix
 
 CUT = unix("2023-06-01")
@@ -188,3 +188,36 @@ def test_no_items_or_users(spark):
     items, users = _tables(spark, np.ones((3, 4)), np.ones((2, 4)), [2, 2])
     assert best_products(items.limit(0), users, 4, 2, 2, 1 << 20).count() == 0
     assert best_products(items, users.limit(0), 4, 2, 2, 1 << 20).count() == 0
+
+
+def test_all_pairs_above_a_score(spark):
+    """Every pair beyond the user's bound, whatever the blocks; nothing else leaves a task."""
+    rng = np.random.default_rng(8)
+    y, x = rng.normal(size=(300, 4)).astype(np.float32), rng.normal(size=(40, 4)).astype(np.float32)
+    least = np.sort(x.astype(np.float64) @ y.T.astype(np.float64), axis=1)[:, -7]
+    items = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(y)], "item_idx int, features array<float>")
+    users = spark.createDataFrame([(u, [float(v) for v in r], float(b)) for u, (r, b) in enumerate(zip(x, least))],
+                                  "user_idx int, features array<float>, least double")
+    whole = x.astype(np.float64) @ y.T.astype(np.float64)
+    want = {(u, i) for u, i in zip(*np.nonzero(whole > least[:, None] + 1e-9))}
+    for per_block in (300, 37):
+        got = {(r[0], r[1]): r[2] for r in above(items, users, 4, per_block, 1 << 16).collect()}
+        assert want <= set(got) and len(got) <= len(want) + 40
+        assert all(abs(whole[key] - score) < 1e-9 for key, score in got.items())
+
+
+def test_shelves_in_rounds_keep_what_is_wanted(spark):
+    """Many shelves of vectors of the same length: no more rows are kept than are wanted."""
+    rng = np.random.default_rng(9)
+    y = rng.normal(size=(400, 4))
+    y = (y / np.linalg.norm(y, axis=1)[:, None]).astype(np.float32)
+    x = rng.normal(size=(10, 4)).astype(np.float32)
+    items = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(y)], "id int, features array<float>")
+    users = spark.createDataFrame([(u, [float(v) for v in r], 6) for u, r in enumerate(x)],
+                                  "user_idx int, features array<float>, wanted int")
+    got = {}
+    for r in best_products(items, users, 4, 20, 10, 1 << 20).collect():
+        got.setdefault(r["user_idx"], []).append(r["item_idx"])
+    scores = np.round((x @ y.T).astype(np.float64), 5)
+    for u in range(10):
+        assert sorted(got[u]) == sorted(sorted(range(400), key=lambda i: (-scores[u, i], i))[:6])
