@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from conftest import ranked
 
+from gleaner.operators import als as als_module
 from gleaner.operators.als import ImplicitALS
 from gleaner.operators.products import above, best_of, best_products, search
 from gleaner.operators.splits import unix
@@ -221,3 +222,17 @@ def test_shelves_in_rounds_keep_what_is_wanted(spark):
     scores = np.round((x @ y.T).astype(np.float64), 5)
     for u in range(10):
         assert sorted(got[u]) == sorted(sorted(range(400), key=lambda i: (-scores[u, i], i))[:6])
+
+
+def test_training_checkpoints_every_iteration(spark, table, monkeypatch):
+    """The shuffles of an iteration can only be removed once its factors are checkpointed."""
+    asked = {}
+
+    class Noted(als_module.ALS):
+        def fit(self, ratings):
+            asked["interval"] = self.getCheckpointInterval()
+            return super().fit(ratings)
+
+    monkeypatch.setattr(als_module, "ALS", Noted)
+    ImplicitALS(factors=2, iterations=3, blocks=2).fit(table, CUT)
+    assert asked["interval"] == 1
