@@ -187,3 +187,13 @@ def test_resampled_means_have_the_moments_they_must_have(spark, method, monkeypa
         monkeypatch.setattr(bootstrap, "resampled_means",
                             lambda *a, c=change: right(*a).select(c.alias("mean")))
         assert not bootstrap.moments_of(differences, 1_000, method=method).first()[fact]
+
+
+def test_lists_are_not_broadcast(spark, lists, histories):
+    """Lists of one channel are alike and their files tiny; none is collected for a join with the truths."""
+    from gleaner.session import snapshot
+
+    recs = snapshot(lists({u: [1, 2, 3] for u in range(200)}), "same-lists")
+    found = metrics.found_by({"a": recs}, histories({u: [3, 4] for u in range(200)}))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 200
