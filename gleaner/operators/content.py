@@ -1,24 +1,35 @@
 """Content: same store, same category, similar price. Reaches items nobody has bought yet."""
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions import top_k
+from gleaner.functions import global_positions, top_k
 from gleaner.operators.candidates import drop_seen, item_weights
 from gleaner.operators.daily import DailyCounts, counted
 from gleaner.session import snapshot
 
+# functions sent to the workers travel with the plan; the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values of the score.
 STORE_SIGNAL = 2.0       # an item of a store the user bought from
 CATEGORY_DAMPING = 3.0   # category signal w / (w + 3)
 PRICE_BONUS = 0.5        # price within the tolerance of the user's median
 
-# Grades of the stores' counts: popularity by half octaves, the last one open, price by eighths.
-# Finer ones leave fewer entries above a floor; any grades give the same lists.
-LEVELS, LEVELS_AN_OCTAVE, PRICES_AN_OCTAVE = 40, 2, 8
+# Grades of the stores' counts: the places of all pools' entries in the order of the lists, by equal
+# parts of their logarithm, and price by eighths of octaves. Finer ones leave fewer entries above a
+# floor; any grades give the same lists. Popularity itself would be no grade: where it is spread
+# evenly, most of a pool is of one.
+LEVELS, PRICES_AN_OCTAVE = 40, 8
+UNIT = 5_040             # an item with r metadata rows counts as UNIT / r for each of them, rounded down
 _EDGE = 1e-9             # a price this near to a bound of the band is not counted
 
 
@@ -62,42 +73,37 @@ class Content:
     def _shelf(self) -> DataFrame:
         """One row per store: its pool as an array of at most per_store + cold_slots entries.
 
-        `sure` marks items with one metadata row; `level` grades popularity.
+        `level` grades the entry's place among those of all pools, in the order in which equal
+        scores are listed. `weight` is what it counts: an item's rows come to one item at most.
         """
         rows = self.catalogue.groupBy("item_idx").agg(F.count(F.lit(1)).alias("rows"))
-        level = F.floor(LEVELS_AN_OCTAVE * F.log2(F.col("pop") + F.lit(1.0)))
-        entry = F.struct("item_idx", "price", "pop", F.least(level, F.lit(LEVELS - 1)).cast("int").alias("level"),
-                         (F.col("rows") == 1).alias("sure"))
-        return (self.stores.join(rows, "item_idx")
+        placed = global_positions(self.stores.withColumn("_less", -F.col("pop")), ["_less", "item_idx", "price", "store_idx"],
+                                  "_at", "content-order")
+        last = F.log2(F.greatest(self.stores.agg(F.count(F.lit(1))).scalar(), F.lit(2)).cast("double"))
+        level = F.floor(LEVELS * (1 - F.log2(F.col("_at") + F.lit(1.0)) / last))
+        entry = F.struct("item_idx", "price", "pop",
+                         F.greatest(F.least(level, F.lit(LEVELS - 1)), F.lit(0)).cast("int").alias("level"),
+                         F.floor(F.lit(UNIT) / F.col("rows")).alias("weight"))
+        return (placed.join(rows, "item_idx")
                 .groupBy("store_idx").agg(F.collect_list(entry).alias("entries")))
 
     def _depth(self) -> DataFrame:
-        """(store, first, width, listed, grid): how many sure entries a store has, summed up.
+        """(store, first, width, listed, grid): the weights of a store's entries, summed up.
 
-        `listed` holds for each level the number of entries of that level or higher. `grid` holds,
-        level by level, the same by price: the number of those up to each of `width` price
-        grades, the lowest being `first`. So the number in any price band from any level on is
+        `listed` holds for each level the weight of entries of that level or higher. `grid` holds,
+        level by level, the same by price: the weight of those up to each of `width` price
+        grades, the lowest being `first`. So the weight in any price band from any level on is
         the difference of two places.
         """
-        cells = F.transform(F.filter("entries", lambda e: e["sure"]), lambda e: F.struct(
-            e["level"].alias("level"), F.when(e["price"] > 0, _grade(e["price"])).alias("grade")))
-        priced = F.transform(F.filter("cells", lambda c: c["grade"].isNotNull()), lambda c: c["grade"])
-        top, width = F.array_max(F.transform("cells", lambda c: c["level"])), F.col("width")
-
-        def number(test):
-            return F.size(F.filter("cells", test))
-
-        def up_to(at):
-            return number(lambda c: (c["level"] >= F.floor(at / width)) & (c["grade"] - F.col("first") <= at % width))
-
-        levels = F.sequence(F.lit(0), F.col("top"))
-        return (self.stores_shelf.select("store_idx", cells.alias("cells")).filter(F.size("cells") > 0)
-                .select("store_idx", "cells", top.alias("top"), F.array_min(priced).alias("first"),
-                        (F.array_max(priced) - F.array_min(priced) + 1).alias("width"))
-                .select("store_idx", "first", "width",
-                        F.transform(levels, lambda n: number(lambda c: c["level"] >= n)).alias("listed"),
-                        F.when(width.isNotNull(), F.transform(
-                            F.sequence(F.lit(0), (F.col("top") + 1) * width - 1), up_to)).alias("grid")))
+        cells = F.transform(F.filter("entries", lambda e: e["weight"] > 0), lambda e: F.struct(
+            e["level"].alias("level"), e["weight"].alias("weight"), F.when(e["price"] > 0, _grade(e["price"])).alias("grade")))
+        own = self.stores_shelf.select("store_idx", cells.alias("cells")).filter(F.size("cells") > 0)
+        priced = F.filter("cells", lambda c: c["grade"].isNotNull())
+        kind = own.schema["store_idx"].dataType.simpleString()
+        return own.select("store_idx", F.col("cells.level").alias("level"), F.col("cells.weight").alias("weight"),
+                          priced["level"].alias("priced_level"), priced["weight"].alias("priced_weight"),
+                          priced["grade"].alias("grade")).mapInPandas(
+            _summed, f"store_idx {kind}, first int, width int, listed array<bigint>, grid array<bigint>")
 
     def category_pool(self, catalogue: DataFrame) -> DataFrame:
         listed = (catalogue.filter(F.col("main_category_idx").isNotNull())
@@ -145,8 +151,8 @@ class Content:
         price band: the best k are then in the band and of that level or higher. `wide_floor` is a
         level at which they hold that many at any price: the best k are then in the band, or of that
         level or higher. `full` says that the pools hold that many at all: a category candidate
-        scores under 1.5 and a store item 2 or more, so none is needed. Items with several
-        metadata rows are not counted, as they may be the same item.
+        scores under 1.5 and a store item 2 or more, so none is needed. Entries
+        count by their weights, which for the rows of one item come to one at most.
 
         The counts are read off the stores' sums, a row for each (user, store) and two places for
         each level; no shelf is opened. Price grades that are only partly in the band are not counted,
@@ -170,7 +176,7 @@ class Content:
               for n in range(LEVELS)))
         totals = counted.groupBy("user_idx").agg(F.sum("h").alias("h"), *(
             F.sum(f"{kind}{n}").alias(f"{kind}{n}") for kind in ("any", "near") for n in range(LEVELS)))
-        enough = F.lit(k) + F.col("h")
+        enough = (F.lit(k) + F.col("h")) * UNIT
 
         def highest(kind: str) -> Column:
             return F.greatest(*(F.when(F.col(f"{kind}{n}") >= enough, n) for n in range(LEVELS)))
@@ -204,9 +210,10 @@ class Content:
         weights = item_weights(histories)
         profile = snapshot(self.profile(weights), "content-profile")
         medians = snapshot(self.median_prices(profile), "content-medians")
+        # a user's stores lie together, so their wide rows of counts add up before they are shuffled
         own = snapshot(profile.filter(F.col("store_idx").isNotNull())
                        .groupBy("user_idx", "store_idx").agg(F.sum("items").alias("h"))
-                       .join(medians, "user_idx", "left"), "content-user-stores")
+                       .repartition("user_idx").join(medians, "user_idx", "left"), "content-user-stores")
         needs = snapshot(self._needs(own, k), "content-needs")
 
         by_store = self.opened(own, needs).withColumn("signal", F.lit(STORE_SIGNAL))
@@ -230,6 +237,24 @@ class Content:
                 .select("user_idx", "rank", "item_idx", "score", "pop"))
 
 
+def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sums of `_depth`, a store at a time; a store has at most per_store + cold_slots entries."""
+    for pdf in batches:
+        rows = []
+        for store, level, weight, priced_level, priced_weight, grade in pdf.itertuples(index=False):
+            listed = np.zeros(level.max() + 1, np.int64)
+            np.add.at(listed, level, weight)
+            first = width = grid = None
+            if len(grade):
+                first, width = int(grade.min()), int(grade.max() - grade.min() + 1)
+                grid = np.zeros((len(listed), width), np.int64)
+                np.add.at(grid, (priced_level, grade - first), priced_weight)
+                grid = grid[::-1].cumsum(axis=0)[::-1].cumsum(axis=1).ravel()
+            rows.append((store, first, width, listed[::-1].cumsum()[::-1], grid))
+        yield pd.DataFrame(rows, columns=["store_idx", "first", "width", "listed", "grid"]).astype(
+            {"first": "Int32", "width": "Int32"})
+
+
 def _octaves(price: Column) -> Column:
     return F.lit(PRICES_AN_OCTAVE) * F.log2(price)
 

@@ -282,3 +282,19 @@ def test_content_counts_without_opening_shelves(spark, interactions, histories):
     assert "Generate" not in text and "entries" not in text
     assert tuple(model._needs(own, 1).first()) == (0, 0, 0, True)
     assert tuple(model._needs(own, 2).first()) == (0, None, None, False)
+
+
+@pytest.mark.parametrize("rows", [1, 2])
+def test_content_opens_few_entries_of_even_popularity(spark, interactions, histories, rows):
+    """Where all items sell alike, or all have two price rows, pools are not opened whole."""
+    items = [(n, 0, n % 20, round(10.0 + n % 7 + more, 2)) for n in range(4000) for more in range(rows)]
+    sold = [(u, i, "2023-05-01") for i in range(4000) for u in range(4)]
+    model = Content(spark.createDataFrame(items, ITEM_SCHEMA)).fit(interactions(sold), CUT)
+    weights = item_weights(histories({0: list(range(20))}))
+    profile = model.profile(weights)
+    own = (profile.groupBy("user_idx", "store_idx").agg(F.sum("items").alias("h"))
+           .join(model.median_prices(profile), "user_idx", "left"))
+    k = 30
+    assert model.opened(own, model._needs(own, k)).count() <= 4 * (k + 20) * rows
+    got = ranked(model.recommend(histories({0: list(range(20))}), k))
+    assert len(got[0]) == k
