@@ -76,7 +76,8 @@ def interactions(spark: SparkSession, folder: str, category: str = "p_type") ->
         (F.col("l_returnflag") != "R").alias("verified_purchase"),
         code.cast("smallint").alias("category_idx"))
     kept = ["rating", "helpful_vote", "verified_purchase", "category_idx"]
-    return (rows.groupBy("user_idx", "item_idx")
+    # rows of a struct are sorted to be combined; behind the shuffle that happens once, in its partitions
+    return (rows.repartition("user_idx", "item_idx").groupBy("user_idx", "item_idx")
             .agg(F.min(F.struct("ts", "l_orderkey", "l_linenumber", *kept)).alias("_first"))
             .select("user_idx", "item_idx", *[F.col(f"_first.{c}").alias(c) for c in ["ts", *kept]])
             .withColumn("year", year_of(F.col("ts"))))

@@ -112,3 +112,22 @@ def test_covisitation_joins_whole_neighbour_lists(interactions, histories):
     lines = text.splitlines()
     generate = next(n for n, line in enumerate(lines) if "Generate inline" in line)
     assert any("partial_sum" in line for line in lines[:generate])
+
+
+def test_first_purchases_are_sorted_once(spark, tmp_path):
+    """Lines are combined behind their shuffle; no task sorts all lines of a file before it."""
+    from datetime import datetime
+
+    from gleaner.sources import warehouse
+
+    tables = {"lineitem": ([(n, 1, n, float(n), "N") for n in (1, 2, 3)],
+                           "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, l_returnflag string"),
+              "orders": ([(n, 5, datetime(2000, 1, 4 - n), "1-URGENT") for n in (1, 2, 3)],
+                         "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp, o_orderpriority string"),
+              "part": ([(1, "LARGE")], "p_partkey bigint, p_type string")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    table = warehouse.interactions(spark, str(tmp_path))
+    text = plan(table)
+    assert text.rindex("SortAggregate") < text.index("REPARTITION_BY_COL")
+    assert [(r["user_idx"], r["item_idx"], r["rating"]) for r in table.collect()] == [(5, 1, 3)]
