@@ -9,9 +9,9 @@ from gleaner.functions.expressions import (
     seeded_digest,
     year_of,
 )
-from gleaner.functions.grouping import global_positions, group_positions, top_k
+from gleaner.functions.grouping import dealt, global_positions, group_positions, top_k
 
 __all__ = [
-    "date_of", "day_of", "global_positions", "group_positions", "half_even", "hash_bucket", "int_array",
+    "date_of", "day_of", "dealt", "global_positions", "group_positions", "half_even", "hash_bucket", "int_array",
     "price_to_double", "seconds_of", "seeded_digest", "top_k", "year_of",
 ]

@@ -14,6 +14,15 @@ _ROW_BITS = 33
 SPREAD = 64
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by `keys` to all shuffle partitions (`spark.sql.shuffle.partitions`).
+
+    For rows that each become very many right behind it: partitions are otherwise put together by
+    their bytes, which say nothing of that.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
           rank: str = "rank", spread_by: Sequence[str] | None = None) -> DataFrame:
     """First `k` rows of every group with their 1-based rank. `order` must be total.

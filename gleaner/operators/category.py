@@ -6,8 +6,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions import top_k
-from gleaner.operators.candidates import drop_seen, item_weights
+from gleaner.functions import dealt, top_k
+from gleaner.operators.candidates import item_weights
 from gleaner.operators.daily import DailyCounts, counted
 from gleaner.session import snapshot
 
@@ -110,14 +110,20 @@ class CategoryPopularity:
         Users x categories x pool would be the largest table here, so entries that cannot
         reach the user's best k are not generated. The score of a generated entry is complete: it
         adds up the item's places in all of the user's categories.
+
+        Entries stay in their user's partition until the list is made. Only history items that are
+        in the pool matter there, so what is kept per user is bounded by the pool, not by the history.
         """
         if self.pool is None or self.item_categories is None:
             raise RuntimeError("fit() has not been called")
-        weights = item_weights(histories)
+        weights = snapshot(item_weights(histories), "catpop-weights")
+        seen = (weights.join(self.pool.select("item_idx").distinct(), "item_idx", "left_semi")
+                .groupBy("user_idx").agg(F.collect_set("item_idx").alias("_seen")))
         best = (self.entries(weights, k).groupBy("user_idx", "item_idx")
                 .agg(F.max("score").alias("score")))
-        return top_k(drop_seen(best, weights), ["user_idx"],
-                     [F.desc("score"), F.asc("item_idx")], k)
+        unseen = (best.join(seen, "user_idx", "left")
+                  .filter(~F.coalesce(F.array_contains("_seen", F.col("item_idx")), F.lit(False))).drop("_seen"))
+        return top_k(unseen, ["user_idx"], [F.desc("score"), F.asc("item_idx")], k)
 
     def entries(self, weights: DataFrame, k: int) -> DataFrame:
         """(user, item, score): all pool items that can be among a user's best k, some repeatedly.
@@ -145,7 +151,7 @@ class CategoryPopularity:
         shared = F.filter(F.slice("shared", F.lit(1), blocks * _BLOCK),
                           lambda e: ~bounded | (whole(e["places"]) >= F.col("floor")))
         score = F.when(F.col("places").isNull(), w / (F.lit(c) + F.col("rn"))).otherwise(whole(F.col("places")))
-        return (self._reach(taste, weights, k)
+        return (self._reach(dealt(taste, "user_idx"), weights, k)
                 .join(self.shelves.drop("size", "shared_n"), "category_idx")
                 .select("user_idx", "w", "tastes", F.inline(F.concat(F.slice("alone", F.lit(1), first), shared)))
                 .select("user_idx", "item_idx", F.round(score, 10).alias("score")))

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions import top_k
+from gleaner.functions import dealt, top_k
 from gleaner.operators.candidates import drop_seen, item_weights
 from gleaner.operators.splits import before
 from gleaner.session import snapshot
@@ -47,9 +47,10 @@ class CoVisitation:
         """(lo, hi, cnt) with lo < hi.
 
         A basket's pairs are bounded by max_items_per_user, whatever the user did. They are
-        counted on the map side; the only shuffle is the one by pair.
+        counted on the map side, before the shuffle by pair; baskets are dealt out evenly first, as
+        a small file of them makes very many pairs.
         """
-        firsts = baskets.select("items", F.posexplode("items").alias("at", "lo"))
+        firsts = dealt(baskets, "user_idx").select("items", F.posexplode("items").alias("at", "lo"))
         later = F.slice("items", F.col("at") + 2, F.size("items"))
         return (firsts.select("lo", F.explode(later).alias("hi"))
                 .filter(F.col("lo") < F.col("hi"))

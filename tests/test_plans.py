@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import top_k
 from gleaner.operators.als import ImplicitALS
+from gleaner.operators.category import CategoryPopularity
 from gleaner.operators.covisitation import CoVisitation
 from gleaner.operators.popularity import Popularity
 from gleaner.operators.splits import before, unix
@@ -131,3 +132,50 @@ def test_first_purchases_are_sorted_once(spark, tmp_path):
     text = plan(table)
     assert text.rindex("SortAggregate") < text.index("REPARTITION_BY_COL")
     assert [(r["user_idx"], r["item_idx"], r["rating"]) for r in table.collect()] == [(5, 1, 3)]
+
+
+def test_entries_of_category_lists_are_not_moved(interactions, histories):
+    """A list is made where its entries are; users are dealt to all partitions before the fan-out."""
+    rows = [(u, i, "2023-05-01", i % 3) for u in range(30) for i in range(u % 5, 40, 1 + u % 3)]
+    model = CategoryPopularity().fit(interactions(rows, category=True), CUT)
+    recs = model.recommend(histories({0: [1, 2], 1: [5], 2: [7, 8, 9]}), 4)
+    lines = plan(recs).splitlines()
+    generate = next(n for n, line in enumerate(lines) if "Generate inline" in line)
+    depth = len(lines[generate]) - len(lines[generate].lstrip(" :+-"))
+    above = [line for line in lines[:generate]
+             if "Exchange hashpartitioning" in line and len(line) - len(line.lstrip(" :+-")) < depth]
+    assert not above
+    assert any("REPARTITION_BY_NUM" in line for line in lines[generate:])
+    assert recs.groupBy("user_idx").count().count() == 3
+
+
+def test_baskets_are_dealt_out_before_their_pairs(interactions):
+    model = CoVisitation(min_cooccurrence=1)
+    rows = [(u, i, "2023-05-01") for u in range(6) for i in range(4)]
+    text = plan(model.pairs(snapshot(model.baskets(interactions(rows), CUT), "baskets")))
+    assert "REPARTITION_BY_NUM" in text[text.index("Generate"):]
+    assert {(r["lo"], r["hi"], r["cnt"]) for r in model.pairs(model.baskets(interactions(rows), CUT)).collect()} == {
+        (a, b, 6) for a in range(4) for b in range(a + 1, 4)}
+
+
+def test_partitions_hold_few_packed_bytes(spark):
+    """Lists pack to some bytes a row; partitions are kept small enough for their sorts."""
+    from gleaner.session import prepare
+
+    session = prepare(spark.newSession())
+    assert session.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
+    assert session.conf.get("spark.sql.files.maxPartitionBytes") == "16m"
+
+
+def test_a_channel_is_made_without_the_others(spark):
+    """One channel's list, and the hits of two lists, make only what they consist of."""
+    from gleaner.plans.catalog import Workbench
+
+    w = Workbench(spark, "/root/testdata/sf0.001")
+    w.list_of("category_popularity")
+    assert not {"popularity", "covisitation"} & set(vars(w))
+    w.found_in("popularity")
+    assert "covisitation" not in vars(w)
+    w.found_in("popularity", "weighted_rrf")
+    assert set(w._made) == {("recs", name) for name in (*w.lists, "weighted_rrf")} | {
+        ("found", name) for name in ("popularity", "weighted_rrf")}
