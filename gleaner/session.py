@@ -14,6 +14,10 @@ SQL_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # short user lists fan out into many candidates, so small partitions are worth keeping
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # lists, histories and pairs of ids pack to a few bytes a row, so partitions of the usual 64 and
+    # 128 MB hold many millions of rows, whose sorts and sums spill; at these a task's memory stays level
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    "spark.sql.files.maxPartitionBytes": "16m",
     # a key that holds a large share of a join's rows is split over tasks, even
     # where that costs one more shuffle afterwards
     "spark.sql.adaptive.skewJoin.enabled": "true",
