@@ -68,7 +68,8 @@ def encode_dedupe(reviews: DataFrame, user_map: DataFrame, item_map: DataFrame,
     # rating and category are always present, so the earliest row has them
     present = {name: F.min(F.when(F.col(name).isNotNull(), row)).alias(f"_{name}")
                for name in ("helpful_vote", "verified_purchase")}
-    return (encoded.groupBy("user_idx", "item_idx")
+    # rows of a struct are sorted to be combined; behind the shuffle that happens once, in its partitions
+    return (encoded.repartition("user_idx", "item_idx").groupBy("user_idx", "item_idx")
             .agg(F.min(row).alias("_row"), *present.values())
             .select("user_idx", "item_idx", F.col("_row.rating").cast("tinyint").alias("rating"),
                     "_row.ts",

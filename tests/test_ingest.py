@@ -179,3 +179,15 @@ def test_lines_are_counted_by_the_scan_that_cleans_them(spark, tmp_path):
         f.write("")
     empty = ingest.counted_reviews(spark, category_paths(spark, str(tmp_path), ["None"]))[1].first()
     assert tuple(empty) == (0, 0, 0, None)
+
+
+def test_lines_are_sorted_behind_their_shuffle(spark):
+    """De-duplication sorts its structs once, in the partitions of the pairs."""
+    reviews = ingest.clean_reviews(spark.createDataFrame(
+        [("u", "p", 4.0, 1_500_000_000_000 - n, None, True, "A") for n in range(3)],
+        "user_id string, parent_asin string, rating double, timestamp bigint, helpful_vote bigint, "
+        "verified_purchase boolean, category string"))
+    table = ingest.encode_dedupe(reviews, *_maps(reviews))
+    text = table._jdf.queryExecution().executedPlan().toString()
+    assert text.rindex("SortAggregate") < text.index("REPARTITION_BY_COL")
+    assert table.count() == 1
