@@ -191,3 +191,18 @@ def test_lines_are_sorted_behind_their_shuffle(spark):
     text = table._jdf.queryExecution().executedPlan().toString()
     assert text.rindex("SortAggregate") < text.index("REPARTITION_BY_COL")
     assert table.count() == 1
+
+
+def test_category_is_taken_from_the_names_without_a_pattern(spark, raw):
+    """A pattern over the path of every row took most of the scan's time."""
+    from pyspark.sql import functions as F
+
+    from gleaner.sources.readers import _category
+
+    names = {"a/Toy.jsonl.gz": "Toy", "a/Toy.jsonl.gz/part-0.txt.gz": "Toy", "a/x.jsonl.gz/y.jsonl.gz": "x",
+             "a/To%20ys+b.jsonl.gz/p": "To ys b", ".jsonl.gz/q.jsonl.gz": "q", "x.jsonl.gz/a/b": "", "a/.jsonl.gz": "",
+             "Toy.jsonl.gz.jsonl.gz/p": "Toy.jsonl.gz"}
+    paths = spark.createDataFrame([(n,) for n in names], "path string")
+    got = {r["path"]: r["category"] for r in paths.withColumn("category", _category(F.col("path"))).collect()}
+    assert got == names
+    assert "regexp" not in raw._jdf.queryExecution().executedPlan().toString()
