@@ -67,14 +67,14 @@ class Workbench:
             cls._open[key] = cls(prepare(spark), folder)
         return cls._open[key]
 
-    def _stored(self, table: DataFrame, name: str) -> DataFrame:
+    def _stored(self, table: DataFrame, name: str, rebalance: bool = True) -> DataFrame:
         path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
-        write_by_year(table, path)
+        write_by_year(table, path, rebalance=rebalance)
         return read_interactions(self.spark, path)
 
     @cached_property
     def interactions(self) -> DataFrame:
-        return self._stored(warehouse.interactions(self.spark, self.folder), "interactions")
+        return self._stored(warehouse.interactions(self.spark, self.folder), "interactions", rebalance=False)
 
     @cached_property
     def daily(self) -> DailyCounts:
@@ -84,7 +84,7 @@ class Workbench:
     def multi_category(self) -> DataFrame:
         """The same interactions filed under order priority: items in several categories."""
         return self._stored(warehouse.interactions(self.spark, self.folder, "o_orderpriority"),
-                            "interactions-priority")
+                            "interactions-priority", rebalance=False)
 
     @cached_property
     def items(self) -> DataFrame:
@@ -113,7 +113,7 @@ class Workbench:
     def encoded(self) -> DataFrame:
         return self._stored(ingest.encode_dedupe(
             self.reviews, self.user_map, self.item_map, self.category_map,
-            tie_break=["l_orderkey", "l_linenumber"]), "encoded")
+            tie_break=["l_orderkey", "l_linenumber"]), "encoded", rebalance=False)
 
     @cached_property
     def metadata(self) -> DataFrame:

@@ -71,15 +71,17 @@ def interactions(spark: SparkSession, folder: str, category: str = "p_type") ->
         F.col("o_custkey").cast("int").alias("user_idx"),
         F.col("l_partkey").cast("int").alias("item_idx"),
         seconds_of(F.col("o_orderdate")).alias("ts"), "l_orderkey", "l_linenumber",
-        (1 + F.pmod(F.col("l_linenumber") - 1, F.lit(5))).cast("tinyint").alias("rating"),
         F.col("l_quantity").cast("smallint").alias("helpful_vote"),
         (F.col("l_returnflag") != "R").alias("verified_purchase"),
         code.cast("smallint").alias("category_idx"))
-    kept = ["rating", "helpful_vote", "verified_purchase", "category_idx"]
+    kept = ["helpful_vote", "verified_purchase", "category_idx"]
+    # read off the line's number, so it is not moved with the rows
+    rating = (1 + F.pmod(F.col("_first.l_linenumber") - 1, F.lit(5))).cast("tinyint").alias("rating")
     # rows of a struct are sorted to be combined; behind the shuffle that happens once, in its partitions
     return (rows.repartition("user_idx", "item_idx").groupBy("user_idx", "item_idx")
             .agg(F.min(F.struct("ts", "l_orderkey", "l_linenumber", *kept)).alias("_first"))
-            .select("user_idx", "item_idx", *[F.col(f"_first.{c}").alias(c) for c in ["ts", *kept]])
+            .select("user_idx", "item_idx", F.col("_first.ts").alias("ts"), rating,
+                    *[F.col(f"_first.{c}").alias(c) for c in kept])
             .withColumn("year", year_of(F.col("ts"))))
 
 

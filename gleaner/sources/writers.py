@@ -9,14 +9,16 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("compression", "zstd").parquet(path)
 
 
-def write_by_year(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_by_year(df: DataFrame, path: str, mode: str = "overwrite", rebalance: bool = True) -> None:
     """Partition by year into evenly sized files.
 
-    The rebalance hint lets a busy year spread over many tasks instead of one. Rows are
+    The rebalance hint lets a busy year spread over many tasks instead of one. Rows that lie in even
+    partitions already, right behind a shuffle by (user, item), are written from these without it:
+    a file for each partition and year, and the whole table is moved once less. Rows are
     sorted by time inside a file, so the time filters of the operators skip row groups.
     """
-    (df.hint("rebalance", F.col("year"))
-     .sortWithinPartitions("year", "ts")
+    even = df.hint("rebalance", F.col("year")) if rebalance else df
+    (even.sortWithinPartitions("year", "ts")
      .write.mode(mode).option("compression", "zstd").partitionBy("year").parquet(path))
 
 

@@ -206,3 +206,16 @@ def test_category_is_taken_from_the_names_without_a_pattern(spark, raw):
     got = {r["path"]: r["category"] for r in paths.withColumn("category", _category(F.col("path"))).collect()}
     assert got == names
     assert "regexp" not in raw._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_in_even_partitions_are_not_moved_again(spark, tmp_path):
+    from gleaner.plans.catalog import Workbench
+
+    rows = spark.createDataFrame([(n % 7, n % 11, 946684800 + n * 86400 * 30, 2000 + n % 3) for n in range(77)],
+                                 "user_idx int, item_idx int, ts bigint, year int").repartition(3, "user_idx", "item_idx")
+    w = Workbench(spark, "unused")
+    stored = {on: w._stored(rows, "even", rebalance=on) for on in (False, True)}
+    same = [sorted(map(tuple, t.select("user_idx", "item_idx", "ts", "year").collect())) for t in stored.values()]
+    assert same[0] == same[1] and len(same[0]) == 77
+    # a file for each of the three partitions and three years; with the hint a year is gathered
+    assert len(stored[False].inputFiles()) == 9 and len(stored[True].inputFiles()) < 9
