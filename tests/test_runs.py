@@ -105,3 +105,21 @@ def test_segments_are_scored_apart(lists, histories):
                            segments=seg)
     values = {r["segment"]: r["value"] for r in got.filter("metric = 'recall@1'").collect()}
     assert values == {"1-4": 1.0, "10+": 0.0}
+
+
+def test_windows_run_beside_each_other(interactions, monkeypatch):
+    """Both wait for the other to have begun, so one after the other they would never end."""
+    from threading import Barrier
+
+    both, inside, build = Barrier(2, timeout=60), [], runs.build_eval_set
+    monkeypatch.setattr(runs, "build_eval_set", lambda *args, **options: (both.wait(), build(*args, **options))[1])
+    rows = [(u, i, "2022-01-01") for u in range(6) for i in (1, 2)]
+    rows += [(u, 3, "2022-05-01") for u in range(6)] + [(u, 4, "2022-08-01") for u in range(6)]
+    windows = {"spring": TimeSplit.of("2022-03-01", "2022-06-01", "2022-07-01"),
+               "summer": TimeSplit.of("2022-07-01", "2022-09-01", "2022-10-01")}
+    options = {"k": 3, "eval_ks": (3,), "channels": ("popularity",), "bootstrap_samples": 0}
+    got = runs.rolling_runs(interactions(rows), windows, keep=lambda window, section, table: inside.append(window), **options)
+    assert set(inside) == set(windows)
+    assert [r["window"] for r in got.select("window").distinct().orderBy("window").collect()] == sorted(windows)
+    with pytest.raises(ValueError):
+        runs.rolling_runs(interactions(rows), windows, at_once=0, **options)
