@@ -3,6 +3,7 @@ import pytest
 from conftest import ranked
 
 from gleaner.operators import als as als_module
+from gleaner.operators import products
 from gleaner.operators.als import ImplicitALS
 from gleaner.operators.products import above, best_of, best_products, search
 from gleaner.operators.splits import unix
@@ -236,3 +237,17 @@ def test_training_checkpoints_every_iteration(spark, table, monkeypatch):
     monkeypatch.setattr(als_module, "ALS", Noted)
     ImplicitALS(factors=2, iterations=3, blocks=2).fit(table, CUT)
     assert asked["interval"] == 1
+
+
+def test_a_far_product_costs_one_comparison(monkeypatch):
+    """Only products that reach a row's bound are rounded and sorted, not every one that is formed."""
+    sorted_ = []
+    monkeypatch.setattr(products, "best_of", lambda ids, scores, k: (sorted_.append(np.isfinite(scores).sum()),
+                                                                     best_of(ids, scores, k))[1])
+    rng = np.random.default_rng(11)
+    y = _by_length(rng, 20_000, 16, 0.0)                 # no lengths to go by
+    x, ids = rng.normal(size=(40, 16)).astype(np.float32), rng.permutation(20_000).astype(np.int32)
+    wanted = np.full(40, 30)
+    row, found, score, formed = search(ids, y, x, wanted, np.full(40, -np.inf), 500, 1 << 24)
+    assert formed > 0.5 * 40 * 20_000 and sum(sorted_) < 0.05 * formed
+    assert [found[row == n].tolist() for n in range(40)] == [[i for i, _ in w] for w in _dense(ids, y, x, wanted)]
