@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from conftest import ranked
 
+from gleaner import session
 from gleaner.operators import als as als_module
-from gleaner.operators import products
+from gleaner.operators import products, sweeps
 from gleaner.operators.als import ImplicitALS
 from gleaner.operators.products import above, best_of, best_products, search
 from gleaner.operators.splits import unix
@@ -251,3 +252,48 @@ def test_a_far_product_costs_one_comparison(monkeypatch):
     row, found, score, formed = search(ids, y, x, wanted, np.full(40, -np.inf), 500, 1 << 24)
     assert formed > 0.5 * 40 * 20_000 and sum(sorted_) < 0.05 * formed
     assert [found[row == n].tolist() for n in range(40)] == [[i for i, _ in w] for w in _dense(ids, y, x, wanted)]
+
+
+def test_small_blocks_give_the_factors_of_training_whole(spark, monkeypatch):
+    """Beyond MLlib's memory the iterations run in blocks of few ratings, of which none holds more vectors
+    than it has ratings; the factors are the same, also with repeated pairs and one very popular item."""
+    rng = np.random.default_rng(12)
+    rows = [(int(u), int(i), unix("2023-05-01")) for u in range(-3, 300) for i in rng.choice(90, rng.integers(5, 30)) ** 2]
+    rows += [(u, 7, unix("2023-05-01")) for u in range(300)]
+    table = spark.createDataFrame(rows, "user_idx int, item_idx int, ts bigint")
+
+    def fitted():
+        model = ImplicitALS(factors=5, iterations=3, blocks=3).fit(table, CUT)
+        return _factors(model.user_factors), _factors(model.item_factors)
+
+    whole = fitted()
+    held, filled = [], sweeps.packed
+    monkeypatch.setattr(als_module, "WHOLE_ROWS", 100)
+    monkeypatch.setattr(sweeps, "LEAST_ROWS", 400)
+    monkeypatch.setattr(sweeps, "GATHERED", 64)          # the popular item's ratings come in pieces
+    monkeypatch.setattr(sweeps, "packed", lambda *args: (held.append(filled(*args)), held[-1])[1])
+    monkeypatch.setattr(sweeps, "discard", lambda table: None)
+    cut = fitted()
+    for old, new in zip(whole, cut):
+        assert set(old) == set(new)
+        for key in old:
+            np.testing.assert_allclose(new[key], old[key], rtol=1e-3, atol=1e-5)
+    users, items = held
+    assert users.count() > 6 and items.count() > 6       # not the model's three blocks
+    spread = users.selectExpr("length(named) / 4 AS vectors", "length(places) / 4 AS ratings").collect()
+    assert all(r["vectors"] <= r["ratings"] < 0.4 * len(rows) for r in spread)
+
+
+def test_passing_tables_leave_nothing_behind(spark):
+    """Settings come back, and a table that is discarded is gone."""
+    import os
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with session.passing(spark):
+        assert spark.conf.get(key) != before
+        table = session.snapshot(spark.range(9).repartition(3), "passing")
+    assert spark.conf.get(key) == before and table.count() == 9
+    folder = table.inputFiles()[0].rsplit("/", 1)[0].split(":", 1)[1]
+    session.discard(table)
+    assert not os.path.exists(folder)
